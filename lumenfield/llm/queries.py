@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import codec, tokens
+from . import codec, langid, media, secret_scan, tokens
 
 #: The vocabulary file; another place can be named in the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,12 +24,27 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 512)
 
 
+def op4_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(spans, ",").alias("spans"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", langid.held_out())
+    return langid.identify(docs, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
