@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, langid, media, secret_scan, tokens
+from . import codec, langid, media, secret_scan, simhash, tokens
 
 #: The vocabulary file; another place can be named in the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,6 +24,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 512)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, seed=42, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -44,7 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
