@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, langid, media, secret_scan, simhash, tokens
+from . import codec, langid, media, mixing, secret_scan, simhash, tokens
 
 #: The vocabulary file; another place can be named in the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_source_mix, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
