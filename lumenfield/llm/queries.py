@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, langid, media, mixing, secret_scan, simhash, tokens
+from . import codec, langid, media, mixing, secret_scan, simhash, tokens, warc
 
 #: The vocabulary file; another place can be named in the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -47,14 +47,30 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(spans, ",").alias("spans"))
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", langid.held_out())
     return langid.identify(docs, keep=["doc_id", "held_out"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_source_mix, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_source_mix, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op7_warc_archives, op10_language_id)}
+
+
+_OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p),
+bits AS (SELECT *, list_transform(range(32), lambda i: (
+    ('0x' || substr(hex, (1 + (i * 5) // 4)::BIGINT, 2))::BIGINT // CAST(pow(2, 3 - (i * 5) % 4) AS BIGINT)) % 32) AS five FROM d)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(five, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM bits"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc_archives": _OP7}
