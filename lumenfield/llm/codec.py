@@ -14,7 +14,10 @@ from .tokens import gather, groups
 
 
 def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): the token ids of each whole text; a null or empty text has none."""
+    """(id, ids array<int>, exact): the token ids of each whole text, and whether decoding them gives it back.
+
+    A null or empty text has no ids and is exact; repeated rows give repeated results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(vocabulary)
@@ -22,9 +25,10 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
             texts = texts_of(table.column(1))
             for a, b in groups(texts):
                 ids = codec.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().slice(a, b - a).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+                exact = [codec.decode(x) == t for x, t in zip(ids, texts[a:b])]
+                yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().slice(a, b - a).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], [id_col, "ids", "exact"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, ids array<int>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, ids array<int>, exact boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -98,3 +98,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
         last = tuple(now)
     raise RuntimeError("components did not settle")
+
+
+def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder: (the table reread, its path).  Smaller on disk than a checkpoint,
+    and discard() can free it as soon as what follows has been written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of stash() that nothing reads any more, and let go of shuffle files."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    release(spark)

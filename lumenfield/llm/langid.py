@@ -203,3 +203,15 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Fit on the labelled rows that are not held out, then predict every row."""
     model = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col=text_col, lang_col=lang_col, id_col=id_col, **bounds)
     return predict(docs, model, keep=keep or [id_col], text_col=text_col)
+
+
+def accepted(docs: DataFrame, *, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
+    """The rows of docs, with their columns, whose language is known: predicted, and with a score of at least `least`.
+
+    Null texts and texts without a letter go.  Where nothing is labelled no language is known and all rows go.
+    """
+    model = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col=text_col, lang_col=lang_col, id_col=id_col, **bounds)
+    inside = docs.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(docs.columns)))
+    told = predict(inside, model, keep=inside.columns, text_col=f"__{docs.columns.index(text_col)}")
+    told = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return told.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -115,3 +115,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def seeded_place(*cols: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(_SEED), *(F.col(c).cast("string") for c in cols))), 1, 8), 16, 10).cast("long")
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as rows: each row of docs, with its columns, as often as the words that the mix takes of it make
+    up whole texts, rounded (0 to 3 times).  Rows with equal id and size are taken alike: the most of any."""
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    size, taken = F.col("size"), F.col("taken")
+    times = F.when(size > 0, F.floor((2 * taken + size) / (2 * size))).otherwise(F.lit(0))
+    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max(times).cast("int").alias("__times")).where("__times > 0")
+    sized = docs.withColumn("__own", words_in(text_col))
+    kept = sized.join(plan, sized[id_col].eqNullSafe(plan["__id"]) & (F.col("__own") == F.col("__size")))
+    return kept.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

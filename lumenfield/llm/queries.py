@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codec, langid, media, mixing, secret_scan, simhash, tokens, warc
+from . import ann, codec, langid, media, mixing, secret_scan, simhash, suffix, tokens, warc
 
 #: The vocabulary file; another place can be named in the environment.
 VOCABULARY = "byte_bpe_50k.json"
@@ -55,13 +55,18 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", langid.held_out())
     return langid.identify(docs, keep=["doc_id", "held_out"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_source_mix, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op7_warc_archives, op8_embedding_near_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_source_mix, op4_telephony_media, op5_bpe_codec, op6_secret_scan, op7_warc_archives, op8_embedding_near_dedup, op9_suffix_dedup, op10_language_id)}
 
 
 _OP7 = """

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_map, texts_of
 from .tokens import gather
@@ -234,3 +235,27 @@ def redact_text(text: str | None, mask: str = "[SECRET]") -> str | None:
             out += [text[at:s], mask]
         at = max(at, e)
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
+    """docs with every secret in the whole text replaced by mask, and chars_col (if docs has it) counted anew.
+
+    All other columns, whatever their names, and the number of rows stay as they are; a null text stays null
+    and its count too.
+    """
+    schema = docs.schema
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [redact_text(x, mask) for x in b.column(at).to_pylist()]
+            columns = list(b.columns)
+            columns[at] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+
+    fields = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in schema.fields) + ">"
+    out = arrow_map(docs, run, fields)
+    if chars_col and chars_col in docs.columns:
+        kind = schema[chars_col].dataType
+        out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.char_length(text_col).cast(kind)))
+    return out

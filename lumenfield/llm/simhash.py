@@ -295,3 +295,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     found = components(links)
     labels = cut(nodes.join(found, nodes.node == found.id, "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def representatives(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that stand for their group of near-duplicates: its smallest id.
+
+    Of repeated rows (equal id and text) one stays; rows with a null id stay.
+    """
+    found = near_duplicates(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    stays = named.join(keep, F.col(id_col) == F.col("__keep"), "left_semi").withColumn("__mark", F.xxhash64(text_col)).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    return stays.unionByName(docs.where(F.col(id_col).isNull()))
