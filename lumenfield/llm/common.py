@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Session setting: shuffle files go when the query that wrote them ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in one Arrow batch handed to a Python worker.  Bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 
@@ -105,7 +107,12 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     and discard() can free it as soon as what follows has been written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    old = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, old)
     return spark.read.schema(df.schema).parquet(path), path
 
 
