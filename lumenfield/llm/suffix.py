@@ -30,7 +30,7 @@ _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 #: Segments of an anchor above which its suffixes are compared one by one across tasks instead.
 HOT_SEGMENTS = 512
 #: Suffixes that are sorted at a time, at most (a group may exceed it: HOT_SEGMENTS * WIDE at most).
-SORT_AT_ONCE = 1 << 18
+SORT_AT_ONCE = 1 << 20
 
 
 def _hashes(buf: np.ndarray) -> np.ndarray:
@@ -111,25 +111,32 @@ def _words_at(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
 def _multikey(key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort by one character of eight bytes, on all groups in step.
 
-    group: the group of each entry, ascending.  Returns (order, group of each entry in that order), groups now
+    group: the place at which the group of each entry starts.  Returns (order, group of each entry in that order), groups now
     holding equal characters only.
     """
-    order = np.arange(len(key))
-    done = np.zeros(len(key), bool)
+    order, group = np.arange(len(key)), group.copy()
+    slot = order  # of entries in groups that are not partitioned yet
     while True:
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(group)])
-        open_ = (size > 1) & ~done[first]
-        if not open_.any():
+        own = group[slot]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else slot
+        size = np.diff(np.r_[first, len(own)])
+        many = np.repeat(size > 1, size)
+        slot, size = slot[many], size[size > 1]
+        if not len(slot):
+            # groups by the slot at which they start
             return order, group
-        pivot = np.repeat(key[order[first + size // 2]], size)
-        own = key[order]
-        side = np.where(own < pivot, 0, np.where(own > pivot, 2, 1))
-        side[~np.repeat(open_, size)] = 1
+        begin = np.cumsum(size) - size
+        chars = key[order[slot]]
+        pivot = np.repeat(chars[begin + size // 2], size)
+        side = (chars > pivot).view(np.int8) - (chars < pivot).view(np.int8) + np.int8(1)
         rank = np.repeat(np.arange(len(size)) * 3, size) + side
+        if (side == 1).all():
+            return order, group
         move = np.argsort(rank, kind="stable")
-        order, group = order[move], rank[move]
-        done = done[move] | (group % 3 == 1)
+        order[slot], rank = order[slot][move], rank[move]
+        fresh = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+        group[slot] = np.repeat(slot[fresh], np.diff(np.r_[fresh, len(rank)]))
+        slot = slot[rank % 3 != 1]
 
 
 class _BlindTries:
@@ -200,7 +207,9 @@ def equal_suffixes(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> tup
     """
     order = np.argsort(group, kind="stable")
     head = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))[start[order]].astype(np.uint64)
-    move, groups = _multikey(head, group[order])  # shallow
+    own = group[order]
+    start_of = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+    move, groups = _multikey(head, np.repeat(start_of, np.diff(np.r_[start_of, len(own)])))  # shallow
     order = order[move]
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(groups)])
@@ -331,7 +340,7 @@ def _sorted_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(4).combine_chunks(), t.column(3).combine_chunks(), pa.array(got)], ["anchor", "key", "owner", "mask"])
 
     rest: pa.Table | None = None
-    for t in gather(batches, 4 << 20):
+    for t in gather(batches, 8 << 20):
         t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
         anchor = t.column(0).to_numpy()
         back = np.flatnonzero(anchor != anchor[-1])
