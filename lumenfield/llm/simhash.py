@@ -22,6 +22,10 @@ from .common import arrow_map, components, cut, raw_bytes
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket above which it is split again by the bits that are still free.
 SPLIT_ABOVE = 4096
+#: Members of a bucket of the looser search above which links that join nothing new are left out.
+FOREST_ABOVE = 64
+#: Fingerprints whose planes are made at a time, about (a group may exceed it).
+PLANE_ROWS = 1 << 14
 #: (query, word) pairs that are compared at a time.
 JOBS = 1 << 16
 
@@ -44,9 +48,8 @@ def shingle_hashes(raw: bytes, words: int, seed: int) -> np.ndarray:
 def fold(h: np.ndarray) -> int:
     """The fingerprint of hashes: a bit is 1 if it is set in over half of them; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 14):
-        part = h[k : k + (1 << 14)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for k in range(0, len(h), 255):  # as many as a byte can count
+        ones += np.add.reduce(np.unpackbits(h[k : k + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
@@ -57,20 +60,31 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp array<long>): a SimHash of 64 * lanes bits of each whole text; null counts as empty: zeros."""
+def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, lanes: int = 1, bands: int = 0, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp array<long>[, keys array<long>]): a SimHash of 64 * lanes bits of each whole text; null counts as
+    empty: zeros.  With `bands` a key for each band: a hash of the minima of `rows` hashes over all shingles."""
+
+    def lists(table: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = np.random.default_rng(seed).integers(0, 1 << 63, (bands * rows, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
-            out = []
-            for raw in raw_bytes(b.column(1)):
+            out, keys = [], np.zeros((b.num_rows, bands), np.uint64)
+            for n, raw in enumerate(raw_bytes(b.column(1))):
                 h = shingle_hashes(bytes(raw), words, seed)
                 out.append([fold(h if k == 0 else _mix(h, k)) for k in range(lanes)])
+                if bands and len(h):
+                    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+                    for a in range(0, len(h), 1 << 11):
+                        least = np.minimum(least, (odd * h[a : a + (1 << 11)]).min(1))
+                    for r in range(rows):
+                        keys[n] = _mix(keys[n] ^ least[r::rows], r)
             fp = np.array(out, np.uint64).reshape(-1, lanes).view(np.int64)
-            at = pa.array(np.arange(len(fp) + 1, dtype=np.int32) * lanes)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.ListArray.from_arrays(at, pa.array(fp.ravel()))], [id_col, "fp"])
+            columns = [b.column(0).cast(pa.int64()), lists(fp)]
+            yield pa.RecordBatch.from_arrays([*columns, lists(keys.view(np.int64))] if bands else columns, [id_col, "fp", "keys"][: len(columns) + (bands > 0)])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, fp array<bigint>")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, fp array<bigint>" + (", keys array<bigint>" if bands else ""))
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -115,37 +129,28 @@ def links_in(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int) -
     """Pairs of rows of fp within the radius, of members of one group; groups are runs (start, size) of rows."""
     big = size > 1
     start, size = start[big], size[big]
-    if not len(start):
-        return
-    words = -(-size // 64)
-    # every group starts at a word of its own
-    first = np.cumsum(words) - words
-    slots = np.full(int(words.sum()) * 64, -1, np.int64)
-    where = np.repeat(first * 64 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    row = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    slots[where] = row
-    planes = planes_of(np.where((slots >= 0)[:, None], fp[np.maximum(slots, 0)], 0).astype(np.uint64))
-    valid = np.packbits(slots >= 0, bitorder="little").view(np.uint64)
-    # jobs: each member against the words of its group that are not before its own
-    group = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    count = words[group] - inside // 64
-    ends = np.cumsum(count)
-    for a in _steps(ends, JOBS):
-        lo, hi = a
-        n = count[lo:hi]
-        who = np.repeat(np.arange(lo, hi), n)
-        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        word = first[group[who]] + inside[who] // 64 + nth
-        mask = within(fp, planes, row[who], word, radius) & valid[word]
-        hit = np.flatnonzero(mask)
-        if len(hit):
-            bits = np.unpackbits(mask[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            k, lane = np.nonzero(bits)
-            x, y = row[who[hit[k]]], slots[word[hit[k]] * 64 + lane]
-            keep = y > x
-            if keep.any():
-                yield x[keep], y[keep]
+    ends = np.cumsum(size)
+    for lo, hi in _steps(ends, PLANE_ROWS):
+        own = size[lo:hi]
+        end = np.repeat(np.cumsum(own), own)  # of each member's group, in rows of this part
+        row = np.repeat(start[lo:hi] - (np.cumsum(own) - own), own) + np.arange(len(end))
+        part = fp[row]
+        planes = planes_of(part)
+        # jobs: each member against the words that hold members of its group after it
+        first, last = np.arange(len(end)) >> 6, (end - 1) >> 6
+        count = last - first + 1
+        for a, b in _steps(np.cumsum(count), JOBS):
+            n = count[a:b]
+            who = np.repeat(np.arange(a, b), n)
+            word = first[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            mask = within(part, planes, who, word, radius)
+            after = np.where(word == first[who], ALL << ((who & 63).astype(np.uint64)) << np.uint64(1), ALL)
+            until = np.where(word == last[who], ALL >> (63 - ((end[who] - 1) & 63)).astype(np.uint64), ALL)
+            mask &= after & until
+            hit = np.flatnonzero(mask)
+            if len(hit):
+                k, lane = np.nonzero(np.unpackbits(mask[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                yield row[who[hit[k]]], row[word[hit[k]] * 64 + lane]
 
 
 def _steps(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -168,6 +173,52 @@ def _resplit(fp: np.ndarray, lo: int, hi: int, radius: int, blocks: list[tuple[i
             yield lo + order[x], lo + order[y]
 
 
+def forest_in(fp: np.ndarray, radius: int, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the rows of fp, one group, as all links within the radius would.
+
+    Members outside the largest component so far are compared with all members; when none of those is left,
+    every pair of members that could still join two components has been compared.
+    """
+    n = len(fp)
+    planes, words = planes_of(fp), -(-n // 64)
+    label, asked = np.arange(n), np.zeros(n, bool)
+    found: list[tuple[int, int]] = []
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    while True:
+        root = np.array([top(i) for i in range(n)]) if not found or not asked.any() else label[label]
+        while (label[root] != root).any():
+            root = label[root]
+        label[:] = root
+        todo = np.flatnonzero(~asked & (root != np.bincount(root).argmax()))
+        if not asked.any():
+            todo = np.arange(n)[:1]
+        if not len(todo):
+            return np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
+        _, one = np.unique(root[todo], return_index=True)  # one of each component first
+        todo = todo[one] if len(one) > 1 and len(one) < len(todo) else todo
+        for q in (todo[k : k + at_once] for k in range(0, min(len(todo), at_once), at_once)):
+            asked[q] = True
+            step = max(1, JOBS // words)
+            for a in range(0, len(q), step):
+                part = q[a : a + step]
+                mask = within(fp, planes, np.repeat(part, words), np.tile(np.arange(words), len(part)), radius)
+                hit = np.unpackbits(mask.view(np.uint8), bitorder="little").reshape(len(part), words * 64)[:, :n]
+                for i, row in zip(part.tolist(), hit):
+                    mates = np.flatnonzero(row)
+                    mates = mates[np.unique(label[mates], return_index=True)[1]]  # one of each component
+                    for j in mates.tolist():
+                        x, y = top(i), top(j)
+                        if x != y:
+                            label[max(x, y)] = min(x, y)
+                            found.append((i, j))
+
+
 def _bucket_links(radius: int, widths: list[tuple[int, int]], lanes: int):
     """Streams rows (band, key, fp) sorted by band and key into links between fingerprints' ids."""
 
@@ -184,10 +235,14 @@ def _bucket_links(radius: int, widths: list[tuple[int, int]], lanes: int):
             fp = t.column(3).chunk(0).flatten().to_numpy().view(np.uint64).reshape(n, lanes)
             start = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
             size = np.diff(np.r_[start, n])
-            huge = (size > SPLIT_ABOVE) & (lanes == 1) & bool(widths)
+            huge = size > (SPLIT_ABOVE if lanes == 1 and widths else FOREST_ABOVE)
             found = list(links_in(fp, start[~huge], size[~huge], radius))
             for s, z in zip(start[huge].tolist(), size[huge].tolist()):
-                found += _resplit(fp, s, s + z, radius, widths)
+                if lanes == 1 and widths:
+                    found += _resplit(fp, s, s + z, radius, widths)
+                else:
+                    x, y = forest_in(fp[s : s + z], radius)
+                    found.append((s + x, s + y))
             for x, y in found:
                 pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -214,29 +269,16 @@ def _bucket_links(radius: int, widths: list[tuple[int, int]], lanes: int):
     return run
 
 
-def _band_keys(bands: list[list[int]], lanes: int):
-    """A row of each fingerprint for each band, with the band's bits as its key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(1).flatten().to_numpy().view(np.uint8).reshape(b.num_rows, 8 * lanes)
-            bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
-            for n, band in enumerate(bands):
-                key = bits[:, band] @ (np.int64(1) << np.arange(len(band)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, n, np.int32)), pa.array(key), b.column(0), b.column(1)], ["band", "key", "node", "fp"])
-
-    return run
-
-
-def near_links(nodes: DataFrame, radius: int = 2, lanes: int = 1, bands: list[list[int]] | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 2, lanes: int = 1) -> DataFrame:
     """Links (a, b) between nodes (node long, fp array<long>) whose fingerprints differ in <= radius bits.
 
-    Without `bands` 64-bit fingerprints are cut into radius + 2 blocks; two within the radius agree in two
-    whole blocks, so every link is found.  `bands` gives lists of bit numbers instead: nodes meet if they
-    agree in one list (links that agree in none are missed).  Links may come more than once.
+    64-bit fingerprints are cut into radius + 2 blocks; two within the radius agree in two whole blocks, so
+    every link is found.  Where nodes bring `keys` (array<long>) they meet by those instead: nodes that agree
+    in no key are not compared, and of a large bucket only links that join something are given.  Links may
+    come more than once.
     """
     widths: list[tuple[int, int]] = []
-    if bands is None:
+    if "keys" not in nodes.columns:
         cuts = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
         blocks = list(zip(cuts, cuts[1:]))
         part = lambda a, b: F.shiftrightunsigned(F.col("fp")[0], a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
@@ -245,7 +287,7 @@ def near_links(nodes: DataFrame, radius: int = 2, lanes: int = 1, bands: list[li
         widths = [(a, b - a) for a, b in zip(thirds, thirds[1:])]
         met = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("k")).select(F.col("k.band").alias("band"), F.col("k.key").alias("key"), "node", "fp")
     else:
-        met = arrow_map(nodes.select("node", "fp"), _band_keys(bands, lanes), "band int, key bigint, node bigint, fp array<bigint>")
+        met = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")).select("band", "key", "node", "fp")
     met = met.repartition("band", "key").sortWithinPartitions("band", "key")
     return arrow_map(met, _bucket_links(radius, widths, lanes), "a bigint, b bigint")
 
@@ -267,13 +309,9 @@ def classes(docs: DataFrame, *, words: int = 3, seed: int = 42, radius: int = 2,
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-#: Bands of the looser search: 32 lists of 16 bits out of 256.
-LOOSE_LANES, LOOSE_BANDS, LOOSE_BITS = 4, 32, 16
-
-
-def loose_bands(seed: int = 42) -> list[list[int]]:
-    order = np.random.default_rng(seed)
-    return [sorted(order.choice(64 * LOOSE_LANES, LOOSE_BITS, replace=False).tolist()) for _ in range(LOOSE_BANDS)]
+#: Fingerprint words of the looser search, and its bands of minima: two texts at similarity s meet in one of
+#: them with probability 1 - (1 - s ** ROWS) ** BANDS, 99 % at 0.8.
+LOOSE_LANES, LOOSE_BANDS, LOOSE_ROWS = 16, 12, 5
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -285,16 +323,18 @@ def radius_of(similarity: float, bits: int) -> int:
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): documents whose five-word shingles are estimated to be as similar as asked, linked.
 
-    A 256-bit SimHash estimates the similarity; documents meet in 32 sampled bands of 16 bits, which finds
-    about 9 of 10 pairs at similarity 0.8 and nearly all from 0.85 on, and are compared bit-sliced at the
-    radius of `similarity`.  Texts without words (null ones too) are alike.
+    A 1024-bit SimHash estimates the similarity to about 0.025.  Documents meet in buckets by minima of their shingles' hashes
+    and are compared there bit-sliced at the radius of `similarity`.  Texts without words (null ones too) are alike.
     """
-    prints = cut(fingerprints(docs, words=words, seed=seed, lanes=LOOSE_LANES, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    links = near_links(nodes.select("node", "fp"), radius_of(similarity, 64 * LOOSE_LANES), LOOSE_LANES, loose_bands(seed))
+    prints = cut(fingerprints(docs, words=words, seed=seed, lanes=LOOSE_LANES, bands=LOOSE_BANDS, rows=LOOSE_ROWS, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")).where("node is not null"))
+    bits = 64 * LOOSE_LANES
+    expected = radius_of(similarity, bits)
+    # half a standard error wider than expected: a miss costs more than a pair just below
+    links = near_links(nodes, expected + int(np.sqrt(expected * (1 - expected / bits)) / 2), LOOSE_LANES)
     found = components(links)
     labels = cut(nodes.join(found, nodes.node == found.id, "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(labels, "fp").select(F.col("id").alias(id_col), "component_id")
+    return prints.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
