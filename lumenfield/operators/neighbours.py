@@ -53,14 +53,14 @@ def knn_mean_distance(df: DataFrame, k: int, *, id_col: str = "_ord", rows_at_on
         # cells of edge `reach`: the 27 around hold all that lies within `reach * size`
         edge = size * reach
         cell = lambda d: d.withColumns({c: F.floor((F.col(x) - a) / edge) for c, x, a in zip(_CELL, "xyz", low)})  # noqa: E731, B023
-        home = cell(points)
+        home = cell(points).toDF(*(f"h{c}" for c in ["id", *"xyz", *_CELL]))  # names of its own: both sides come from points
         span = F.sequence(F.lit(-1), F.lit(1))
         asked = cell(todo)
         for c in _CELL:
             asked = asked.withColumn("d", F.explode(span)).withColumn(c, F.col(c) + F.col("d")).drop("d")
 
         def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            ids, at = right["id"].to_numpy(), right[["x", "y", "z"]].to_numpy()
+            ids, at = right["hid"].to_numpy(), right[["hx", "hy", "hz"]].to_numpy()
             out = []
             for a in range(0, len(left), rows_at_once):
                 part = left.iloc[a : a + rows_at_once]
@@ -73,10 +73,10 @@ def knn_mean_distance(df: DataFrame, k: int, *, id_col: str = "_ord", rows_at_on
                     both = np.concatenate([best, d], 1)
                     best = np.partition(both, k - 1, 1)[:, :k]
                 out.append(pd.DataFrame({"id": own, "near": [np.sqrt(x[np.isfinite(x)]).tolist() for x in best]}))
-            return pd.concat(out) if out else pd.DataFrame({"id": [], "near": []})
+            return pd.concat(out) if out else pd.DataFrame({"id": left["id"], "near": pd.Series([], dtype=object)})
 
         kind = points.schema["id"].dataType.simpleString()
-        met = asked.groupBy(*_CELL).cogroup(home.groupBy(*_CELL)).applyInPandas(nearest, f"id {kind}, near array<double>")
+        met = asked.groupBy(*_CELL).cogroup(home.groupBy(*(f"h{c}" for c in _CELL))).applyInPandas(nearest, f"id {kind}, near array<double>")
         best = met.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
         best = best.withColumn("mean_distance", F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / F.lit(k))
         sure = F.lit(True) if last else (F.size("near") == k) & (F.element_at("near", k) <= F.lit(edge))
@@ -86,7 +86,7 @@ def knn_mean_distance(df: DataFrame, k: int, *, id_col: str = "_ord", rows_at_on
         open_ = best.where("not sure").select("id")
         if last or open_.isEmpty():
             return settled
-        todo, reach = points.join(open_, "id", "left_semi"), reach * 2
+        todo, reach = points.join(open_.withColumnRenamed("id", "open_id"), F.col("id") == F.col("open_id"), "left_semi").toDF("id", *"xyz"), reach * 2
 
 
 def outlier_filter(df: DataFrame, k: int = 25, factor: float = 10.5, *, intensity: float | None = None, id_col: str = "_ord") -> DataFrame:

@@ -76,4 +76,5 @@ def morton_order(df: DataFrame, ties: list[str], most: int = CHUNK, levels: int
 
 
 def by_importance(df: DataFrame) -> Column:
-    return splat_importance([F.col(f"scale_{i}") for i in range(3)], F.col("opacity")).desc()
+    """A key that puts the most important splats first."""
+    return -splat_importance([F.col(f"scale_{i}") for i in range(3)], F.col("opacity"))

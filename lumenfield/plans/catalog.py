@@ -91,11 +91,11 @@ def query(sql: str | None = None):
     return register
 
 
-def rowwise(name: str, columns: dict[str, tuple[Column, str]], doc: str) -> None:
+def rowwise(name: str, columns: dict[str, tuple[Callable[[], Column], str]], doc: str) -> None:
     """A query of column expressions over the splat view, a row for each of its rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return splats(spark, sf_dir).select(*KEYS, *(c.alias(n) for n, (c, _) in columns.items()))
+        return splats(spark, sf_dir).select(*KEYS, *(c().alias(n) for n, (c, _) in columns.items()))
 
     run.__name__, run.__doc__ = name, doc
     _QUERIES[name] = run
@@ -134,12 +134,12 @@ def _u8(v: str) -> str:
 
 _DC = [f"f_dc_{i}" for i in range(3)]
 _SC = [f"scale_{i}" for i in range(3)]
-rowwise("rgb_from_sh", {n: (dc_to_display_u8(F.col(c)), f"CAST(trunc(255*pow({_clip(f'0.5+{SH_C0}*{c}', 0.0, 1.0)}, {1 / 2.2!r})) AS BIGINT)") for n, c in zip(("red", "green", "blue"), _DC)}, "Display colours.")
-rowwise("dc_linear_rgb", {n: (F.round(dc_to_linear(F.col(c)), 6), f"round(0.5+{SH_C0}*{c}, 6)") for n, c in zip("rgb", _DC)}, "Linear colours.")
-rowwise("spz_colors", {f"c{i}": (spz_color_u8(F.col(c)), _u8(f"({c}*0.15+0.5)*255.0")) for i, c in enumerate(_DC)}, "Colour bytes at the 0.15 scale.")
-rowwise("sigmoid_logit_roundtrip", {"alpha_back": (F.round(sigmoid(F.col("opacity")), 6), "round(1/(1+exp(-opacity)), 6)"), "logit_back": (F.round(logit(F.col("alpha"), 1e-7, 1 - 1e-7), 6), f"round(ln({_clip('alpha', 1e-7, 1 - 1e-7)}/(1-{_clip('alpha', 1e-7, 1 - 1e-7)})), 6)"), "narrow": (F.round(logit(F.col("alpha"), 1 / 255, 0.9999), 6), f"round(ln({_clip('alpha', 1 / 255, 0.9999)}/(1-{_clip('alpha', 1 / 255, 0.9999)})), 6)")}, "Alpha and its logit.")
-rowwise("scale_activation", {f"s{i}": (F.round(F.exp(F.col(c)), 6), f"round(exp({c}), 6)") for i, c in enumerate(_SC)} | {f"q{i}": (trunc_u8((F.col(c) + 10.0) * 16.0), _u8(f"({c}+10.0)*16.0")) for i, c in enumerate(_SC)} | {"back": (F.round(log_scale(F.exp(F.col("scale_0"))), 6), "round(ln(greatest(exp(scale_0), 1e-6)), 6)"), "held": (F.round(F.least(F.greatest(F.col("scale_1") * 10, F.lit(-20.0)), F.lit(20.0)), 6), f"round({_clip('scale_1*10', -20.0, 20.0)}, 6)")}, "Scales, their bytes and bounds.")
-rowwise("fixed24_encode_decode", {f"w_{c}": (fixed24(F.col(c) - 25), f"CAST(round_even(({c}-25)*4096.0, 0) AS BIGINT) & 16777215") for c in "xyz"} | {"back_x": (fixed24_decode(fixed24(F.col("x") - 25)), "(CASE WHEN (CAST(round_even((x-25)*4096.0, 0) AS BIGINT) & 16777215) >= 8388608 THEN (CAST(round_even((x-25)*4096.0, 0) AS BIGINT) & 16777215) - 16777216 ELSE CAST(round_even((x-25)*4096.0, 0) AS BIGINT) & 16777215 END)/4096.0")}, "24-bit fixed point.")
+rowwise("rgb_from_sh", {n: (lambda c=c: dc_to_display_u8(F.col(c)), f"CAST(trunc(255*pow({_clip(f'0.5+{SH_C0}*{c}', 0.0, 1.0)}, {1 / 2.2!r})) AS BIGINT)") for n, c in zip(("red", "green", "blue"), _DC)}, "Display colours.")
+rowwise("dc_linear_rgb", {n: (lambda c=c: F.round(dc_to_linear(F.col(c)), 6), f"round(0.5+{SH_C0}*{c}, 6)") for n, c in zip("rgb", _DC)}, "Linear colours.")
+rowwise("spz_colors", {f"c{i}": (lambda c=c: spz_color_u8(F.col(c)), _u8(f"({c}*0.15+0.5)*255.0")) for i, c in enumerate(_DC)}, "Colour bytes at the 0.15 scale.")
+rowwise("sigmoid_logit_roundtrip", {"alpha_back": (lambda: F.round(sigmoid(F.col("opacity")), 6), "round(1/(1+exp(-opacity)), 6)"), "logit_back": (lambda: F.round(logit(F.col("alpha"), 1e-7, 1 - 1e-7), 6), f"round(ln({_clip('alpha', 1e-7, 1 - 1e-7)}/(1-{_clip('alpha', 1e-7, 1 - 1e-7)})), 6)"), "narrow": (lambda: F.round(logit(F.col("alpha"), 1 / 255, 0.9999), 6), f"round(ln({_clip('alpha', 1 / 255, 0.9999)}/(1-{_clip('alpha', 1 / 255, 0.9999)})), 6)")}, "Alpha and its logit.")
+rowwise("scale_activation", {f"s{i}": (lambda c=c: F.round(F.exp(F.col(c)), 6), f"round(exp({c}), 6)") for i, c in enumerate(_SC)} | {f"q{i}": (lambda c=c: trunc_u8((F.col(c) + 10.0) * 16.0), _u8(f"({c}+10.0)*16.0")) for i, c in enumerate(_SC)} | {"back": (lambda: F.round(log_scale(F.exp(F.col("scale_0"))), 6), "round(ln(greatest(exp(scale_0), 1e-6)), 6)"), "held": (lambda: F.round(F.least(F.greatest(F.col("scale_1") * 10, F.lit(-20.0)), F.lit(20.0)), 6), f"round({_clip('scale_1*10', -20.0, 20.0)}, 6)")}, "Scales, their bytes and bounds.")
+rowwise("fixed24_encode_decode", {f"w_{c}": (lambda c=c: fixed24(F.col(c) - 25), f"CAST(round_even(({c}-25)*4096.0, 0) AS BIGINT) & 16777215") for c in "xyz"} | {"back_x": (lambda: fixed24_decode(fixed24(F.col("x") - 25)), "(CASE WHEN (CAST(round_even((x-25)*4096.0, 0) AS BIGINT) & 16777215) >= 8388608 THEN (CAST(round_even((x-25)*4096.0, 0) AS BIGINT) & 16777215) - 16777216 ELSE CAST(round_even((x-25)*4096.0, 0) AS BIGINT) & 16777215 END)/4096.0")}, "24-bit fixed point.")
 
 
 def _spz_sh(v: str, bits: int) -> str:
@@ -147,12 +147,12 @@ def _spz_sh(v: str, bits: int) -> str:
     return f"CAST({_clip(f'floor((CAST(round_even({v}*128.0+128.0, 0) AS BIGINT)+{size // 2})/{size}.0)*{size}', 0.0, 255.0)} AS BIGINT)"
 
 
-rowwise("sh_quant_spz", {f"{n}{i}": (spz_sh_u8(F.col(c), b), _spz_sh(c, b)) for i, c in enumerate(_DC) for n, b in (("five", 5), ("four", 4))}, "Coefficient bytes in buckets.")
-rowwise("sh_quant_u8", {f"wide{i}": (sh_u8(F.col(c), -4.0, 4.0, 256.0), _u8(f"({c}+4.0)/8.0*256.0")) for i, c in enumerate(_DC)} | {f"near{i}": (sh_u8(F.col(c), -2.0, 2.0, 255.0), _u8(f"({c}+2.0)/4.0*255.0")) for i, c in enumerate(_DC)}, "Coefficient bytes over fixed ranges.")
-rowwise("u16_byte_split", {"low": ((F.col("l_partkey") % 65536).bitwiseAND(F.lit(255).cast("long")), "(l_partkey % 65536) & 255"), "high": (F.shiftright(F.col("l_partkey") % 65536, 8), "(l_partkey % 65536) >> 8"), "back": ((F.col("l_partkey") % 65536).bitwiseAND(F.lit(255).cast("long")).bitwiseOR(F.shiftleft(F.shiftright(F.col("l_partkey") % 65536, 8), 8)), "l_partkey % 65536")}, "Two bytes of a 16-bit word.")
+rowwise("sh_quant_spz", {f"{n}{i}": (lambda c=c, b=b: spz_sh_u8(F.col(c), b), _spz_sh(c, b)) for i, c in enumerate(_DC) for n, b in (("five", 5), ("four", 4))}, "Coefficient bytes in buckets.")
+rowwise("sh_quant_u8", {f"wide{i}": (lambda c=c: sh_u8(F.col(c), -4.0, 4.0, 256.0), _u8(f"({c}+4.0)/8.0*256.0")) for i, c in enumerate(_DC)} | {f"near{i}": (lambda c=c: sh_u8(F.col(c), -2.0, 2.0, 255.0), _u8(f"({c}+2.0)/4.0*255.0")) for i, c in enumerate(_DC)}, "Coefficient bytes over fixed ranges.")
+rowwise("u16_byte_split", {"low": (lambda: (F.col("l_partkey") % 65536).bitwiseAND(F.lit(255).cast("long")), "(l_partkey % 65536) & 255"), "high": (lambda: F.shiftright(F.col("l_partkey") % 65536, 8), "(l_partkey % 65536) >> 8"), "back": (lambda: (F.col("l_partkey") % 65536).bitwiseAND(F.lit(255).cast("long")).bitwiseOR(F.shiftleft(F.shiftright(F.col("l_partkey") % 65536, 8), 8)), "l_partkey % 65536")}, "Two bytes of a 16-bit word.")
 
 # ---- rotations ---------------------------------------------------------------------------------------------
-_Q = [F.col(c) for c in ROT]
+_q = lambda: [F.col(c) for c in ROT]
 _N2 = "(rot_0*rot_0+rot_1*rot_1+rot_2*rot_2+rot_3*rot_3)"
 
 
@@ -171,14 +171,14 @@ def _word(at: str, parts: list[str]) -> str:
 
 _, _AT, _TOP, _REST = _rotation(ROT, f"(sqrt({_N2})+1e-10)")
 _W210 = _word(_AT, [f"CAST({_clip(f'floor(({v}*sign({_TOP})*0.7071067811865476+0.5)*1023.0+0.5)', 0.0, 1023.0)} AS BIGINT)" for v in _REST])
-rowwise("quat_pack_2_10_10_10", {"word": (pack_2_10_10_10(_Q), _W210)}, "Smallest three in ten bits each.")
+rowwise("quat_pack_2_10_10_10", {"word": (lambda: pack_2_10_10_10(_q()), _W210)}, "Smallest three in ten bits each.")
 _, _ATS, _TOPS, _RESTS = _rotation(["rot_1", "rot_2", "rot_3", "rot_0"], f"sqrt({_N2}+1e-9)")
-rowwise("quat_spz_v3", {"word": (pack_spz(_Q), _word(_ATS, [f"((CASE WHEN ({v} < 0) <> ({_TOPS} < 0) THEN 512 ELSE 0 END)::BIGINT | CAST(trunc({_clip(f'abs({v})*{511.0 / 0.7071067811865476!r}+0.5', 0.0, 511.0)}) AS BIGINT))" for v in _RESTS]))}, "Smallest three with signs.")
+rowwise("quat_spz_v3", {"word": (lambda: pack_spz(_q()), _word(_ATS, [f"((CASE WHEN ({v} < 0) <> ({_TOPS} < 0) THEN 512 ELSE 0 END)::BIGINT | CAST(trunc({_clip(f'abs({v})*{511.0 / 0.7071067811865476!r}+0.5', 0.0, 511.0)}) AS BIGINT))" for v in _RESTS]))}, "Smallest three with signs.")
 _, _ATG, _TOPG, _RESTG = _rotation(ROT, f"sqrt({_N2})")
-rowwise("quat_sog", {f"b{i}": (c, s) for i, (c, s) in enumerate(zip(sog_bytes(_Q), [*(_u8(f"({v}*(sign({_TOPG})*{2.0**0.5!r})*0.5+0.5)*255.0") for v in _RESTG), f"CAST({_ATG}+252 AS BIGINT)"]))}, "Three bytes and a tag.")
-rowwise("quat_splat_u8", {f"b{i}": (c, _u8(f"{n}/greatest(sqrt({_N2}), 1e-6)*128.0+128.0")) for i, (c, n) in enumerate(zip(splat_bytes(_Q), ROT))}, "Four bytes.")
-_U = [F.col("l_partkey") % 128 / 127.5 - 0.5, F.col("l_suppkey") % 100 / 127.5 - 0.4, F.col("l_linenumber") / 10 - 0.3]
-rowwise("quat_legacy", {"w": (F.round(legacy_w(*_U), 6), "round(sqrt(greatest(0.0, 1.0-(pow(l_partkey%128/127.5-0.5, 2)+pow(l_suppkey%100/127.5-0.4, 2)+pow(l_linenumber/10-0.3, 2)))), 6)")}, "The fourth component of three.")
+rowwise("quat_sog", {f"b{i}": (lambda i=i: sog_bytes(_q())[i], s) for i, s in enumerate([*(_u8(f"({v}*(sign({_TOPG})*{2.0**0.5!r})*0.5+0.5)*255.0") for v in _RESTG), f"CAST({_ATG}+252 AS BIGINT)"])}, "Three bytes and a tag.")
+rowwise("quat_splat_u8", {f"b{i}": (lambda i=i: splat_bytes(_q())[i], _u8(f"{n}/greatest(sqrt({_N2}), 1e-6)*128.0+128.0")) for i, n in enumerate(ROT)}, "Four bytes.")
+_u = lambda: [F.col("l_partkey") % 128 / 127.5 - 0.5, F.col("l_suppkey") % 100 / 127.5 - 0.4, F.col("l_linenumber") / 10 - 0.3]
+rowwise("quat_legacy", {"w": (lambda: F.round(legacy_w(*_u()), 6), "round(sqrt(greatest(0.0, 1.0-(pow(l_partkey%128/127.5-0.5, 2)+pow(l_suppkey%100/127.5-0.4, 2)+pow(l_linenumber/10-0.3, 2)))), 6)")}, "The fourth component of three.")
 
 
 @query(f"""{WITH}, w AS (SELECT {', '.join(KEYS)}, {_W210} AS word FROM splat),
@@ -188,7 +188,7 @@ SELECT {', '.join(KEYS)}, round(CASE WHEN big = 0 THEN m ELSE a END, 6) AS q0, r
   round(CASE big WHEN 2 THEN m WHEN 3 THEN c ELSE b END, 6) AS q2, round(CASE WHEN big = 3 THEN m ELSE c END, 6) AS q3 FROM m""")
 def quat_unpack_2_10_10_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = unpack_2_10_10_10(F.col("word"))
-    return splats(spark, sf_dir).select(*KEYS, pack_2_10_10_10(_Q).alias("word")).select(*KEYS, *(F.round(c, 6).alias(f"q{i}") for i, c in enumerate(back)))
+    return splats(spark, sf_dir).select(*KEYS, pack_2_10_10_10(_q()).alias("word")).select(*KEYS, *(F.round(c, 6).alias(f"q{i}") for i, c in enumerate(back)))
 
 
 # ---- global transforms -------------------------------------------------------------------------------------
@@ -369,7 +369,7 @@ def unpack_position_11_10_11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _C8 = [f"CAST(least(greatest(floor((0.5+{SH_C0}*{c}+0.5)/2*255.0+0.5), 0.0), 255.0) AS BIGINT)" for c in _DC]
-rowwise("pack_color_8888", {"word": (pack_8888(*(F.least(F.greatest(F.floor((dc_to_linear(F.col(c)) + 0.5) / 2 * 255.0 + 0.5), F.lit(0)), F.lit(255)).cast("long") for c in _DC), F.least(F.greatest(F.floor(F.col("alpha") * 255.0 + 0.5), F.lit(0)), F.lit(255)).cast("long")), f"({_C8[0]} << 24) | ({_C8[1]} << 16) | ({_C8[2]} << 8) | CAST(least(greatest(floor(alpha*255.0+0.5), 0.0), 255.0) AS BIGINT)")}, "Four bytes of a colour.")
+rowwise("pack_color_8888", {"word": (lambda: pack_8888(*(F.least(F.greatest(F.floor((dc_to_linear(F.col(c)) + 0.5) / 2 * 255.0 + 0.5), F.lit(0)), F.lit(255)).cast("long") for c in _DC), F.least(F.greatest(F.floor(F.col("alpha") * 255.0 + 0.5), F.lit(0)), F.lit(255)).cast("long")), f"({_C8[0]} << 24) | ({_C8[1]} << 16) | ({_C8[2]} << 8) | CAST(least(greatest(floor(alpha*255.0+0.5), 0.0), 255.0) AS BIGINT)")}, "Four bytes of a colour.")
 
 # ---- neighbours --------------------------------------------------------------------------------------------
 _KNN = f"""WITH {POINTS}, d AS (SELECT a.vec_id, sqrt(pow(a.x-b.x, 2)+pow(a.y-b.y, 2)+pow(a.z-b.z, 2)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
@@ -454,6 +454,27 @@ def scene_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.describe(splats(spark, sf_dir))
 
 
+# ---- files -------------------------------------------------------------------------------------------------
+def _roundtrip(form: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Write the splat view as a scene file and read it back."""
+        import uuid
+
+        from ..sources import read, write
+
+        path = f"{density._shared(spark)}/scene-{uuid.uuid4().hex}"
+        write(splats(spark, sf_dir).drop(*KEYS, "alpha"), path, form)
+        back = read(spark, path, form).df
+        return back.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 2).alias(f"mean_{c}") for c in "xyz"))
+
+    run.__name__ = f"codec_roundtrip_{form}"
+    return run
+
+
+for _form in ("3dgs", "cc", "compressed_ply", "splat", "ksplat", "spz", "sog", "parquet"):
+    _QUERIES[f"codec_roundtrip_{_form}"] = _roundtrip(_form)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
