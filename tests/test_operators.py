@@ -42,7 +42,7 @@ def test_outliers(spark):
     assert neighbours.outlier_filter(make(spark, []), 5, 1.0).count() == 0
     assert neighbours.outlier_filter(make(spark, [(1, 2, 3)]), 5, 1.0).count() == 1
     assert neighbours.outlier_filter(make(spark, CLOUDS["identical"]), 5, 1.0).count() == 0  # no spread: strictly below removes all
-    blob = [tuple(p) for p in np.random.default_rng(2).normal(size=(500, 3))] + [(k * 1e4, 1e4, 0) for k in range(1, 6)]
+    blob = [tuple(p) for p in np.random.default_rng(2).normal(size=(500, 3))] + [(1e4, 0, 0), (-1e4, 0, 0), (0, 1e4, 0), (0, -1e4, 0), (0, 0, 1e4)]
     df = make(spark, blob)
     assert neighbours.outlier_filter(df, intensity=10).count() == 500
     assert neighbours.outlier_filter(df, 25, 10.5).count() == 505
