@@ -110,7 +110,7 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     old = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, old)
     return spark.read.schema(df.schema).parquet(path), path

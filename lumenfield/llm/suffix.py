@@ -419,7 +419,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # texts that stand whole under a smaller id go whole; only the first of each class is searched
     prints = long.select("id", "digest", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"))
     first = prints.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    first, first_at = stash(first, "classes")
     whole, _ = stash(prints.join(first.hint("shuffle_hash"), "md5").where("id > least").select("id", "digest").distinct(), "whole")
+    discard(spark, first_at)
     # anchors that two different texts share
     shared = arrow_map(long.select("id", "digest", "text"), _anchors(True), "anchor bigint, digest bigint").groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("anchor")
     shared, shared_at = stash(shared, "anchors")
