@@ -9,7 +9,9 @@ abandoned once all of its lanes exceed the radius.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -60,31 +62,61 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, lanes: int = 1, bands: int = 0, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp array<long>[, keys array<long>]): a SimHash of 64 * lanes bits of each whole text; null counts as
-    empty: zeros.  With `bands` a key for each band: a hash of the minima of `rows` hashes over all shingles."""
+def _lists(table: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.ravel().view(np.int64)))
 
-    def lists(table: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.ravel()))
+
+def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp array<long>): a SimHash of 64 * lanes bits of each whole text; null counts as empty: zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = (shingle_hashes(bytes(raw), words, seed) for raw in raw_bytes(b.column(1)))
+            fp = np.array([[fold(h if k == 0 else _mix(h, k)) for k in range(lanes)] for h in found], np.uint64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _lists(fp)], [id_col, "fp"])
+
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, fp array<bigint>")
+
+
+def shingle_set(raw: bytes, words: int, seed: int) -> np.ndarray:
+    """The different shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(raw, words, seed))
+
+
+def set_name(h: np.ndarray) -> int:
+    """A 64-bit name (signed) of a shingle set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
+def band_keys(h: np.ndarray, odd: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each band a hash of the minima of `rows` hashes over a shingle set."""
+    keys = np.zeros(bands, np.uint64)
+    if len(h):
+        least = np.full(bands * rows, ALL, np.uint64)
+        for a in range(0, len(h), 1 << 11):
+            least = np.minimum(least, (odd * h[a : a + (1 << 11)]).min(1))
+        for r in range(rows):
+            keys = _mix(keys ^ least[r::rows], r)
+    return keys
+
+
+def band_factors(bands: int, rows: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, (bands * rows, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketches(docs: DataFrame, *, words: int, seed: int, lanes: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node long, fp array<long>, keys array<long>): name, SimHash and band keys of each text's shingle set;
+    null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.random.default_rng(seed).integers(0, 1 << 63, (bands * rows, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        odd = band_factors(bands, rows, seed)
         for b in batches:
-            out, keys = [], np.zeros((b.num_rows, bands), np.uint64)
-            for n, raw in enumerate(raw_bytes(b.column(1))):
-                h = shingle_hashes(bytes(raw), words, seed)
-                out.append([fold(h if k == 0 else _mix(h, k)) for k in range(lanes)])
-                if bands and len(h):
-                    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
-                    for a in range(0, len(h), 1 << 11):
-                        least = np.minimum(least, (odd * h[a : a + (1 << 11)]).min(1))
-                    for r in range(rows):
-                        keys[n] = _mix(keys[n] ^ least[r::rows], r)
-            fp = np.array(out, np.uint64).reshape(-1, lanes).view(np.int64)
-            columns = [b.column(0).cast(pa.int64()), lists(fp)]
-            yield pa.RecordBatch.from_arrays([*columns, lists(keys.view(np.int64))] if bands else columns, [id_col, "fp", "keys"][: len(columns) + (bands > 0)])
-
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, fp array<bigint>" + (", keys array<bigint>" if bands else ""))
+            sets = [shingle_set(bytes(raw), words, seed) for raw in raw_bytes(b.column(1))]
+            fp = np.array([[fold(h if k == 0 else _mix(h, k)) for k in range(lanes)] for h in sets], np.uint64).reshape(-1, lanes)
+            keys = np.array([band_keys(h, odd, bands, rows) for h in sets], np.uint64).reshape(-1, bands)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), _lists(fp), _lists(keys)], ["id", "node", "fp", "keys"])
+
+    return arrow_map(docs.select(id_col, text_col), run, "id bigint, node bigint, fp array<bigint>, keys array<bigint>")
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -310,31 +342,111 @@ def classes(docs: DataFrame, *, words: int = 3, seed: int = 42, radius: int = 2,
 
 
 #: Fingerprint words of the looser search, and its bands of minima: two texts at similarity s meet in one of
-#: them with probability 1 - (1 - s ** ROWS) ** BANDS, 99 % at 0.8.
-LOOSE_LANES, LOOSE_BANDS, LOOSE_ROWS = 16, 12, 5
+#: them with probability 1 - (1 - s ** ROWS) ** BANDS; 99 % at 0.8.
+LOOSE_LANES, LOOSE_BANDS, LOOSE_ROWS = 8, 12, 5
+
+
+def loose_radius(similarity: float, bits: int) -> int:
+    """Differing bits that pairs of shingle sets of at least `similarity` keep within, but for one in ten million.
+
+    Large sets differ in a bit with probability arccos(cosine) / pi.  Of small ones those that differ by one
+    shingle do so most: the bit changes where the others are split evenly.
+    """
+    odds = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    # the fewest shingles of which one may be missing: c of n or of n + 1
+    n = ceil(Fraction(str(similarity)) / (1 - Fraction(str(similarity)))) if similarity < 1 else 0
+    odds = max(odds, comb(n, n // 2) / 2 ** (n + 1) if n else 0.0)
+    return int(odds * bits + 5.3 * np.sqrt(odds * (1 - odds) * bits)) + 1
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of some shingle sets (none empty) the group it is in over links of Jaccard similarity >= `similarity`.
+
+    Members outside the largest group so far are compared with all that their size admits; when none of those
+    is left, every pair that could still join two groups has been compared.
+    """
+    asked_for = Fraction(str(similarity))
+    num, den = asked_for.numerator, asked_for.denominator
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    names, flat = np.unique(np.concatenate([sets[i] for i in order.tolist()]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    mark = np.zeros(len(names), bool)
+    label, asked = np.arange(len(sets)), np.zeros(len(sets), bool)
+    while True:
+        left = ~asked & (label != np.bincount(label).argmax()) if asked.any() else ~asked
+        if not left.any():
+            break
+        q = int(left.argmax())
+        asked[q] = True
+        lo = int(np.searchsorted(size, -(-num * size[q] // den)))
+        hi = int(np.searchsorted(size, den * size[q] // num, "right"))
+        own = flat[starts[q] : ends[q]]
+        mark[own] = True
+        both = np.add.reduceat(mark[flat[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[own] = False
+        joined = np.unique(label[lo:hi][both * den >= num * (size[q] + size[lo:hi] - both)])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    out = np.empty(len(sets), np.int64)
+    out[order] = label
+    return out
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits at which the SimHash estimate of shingle-set similarity falls to `similarity`."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.arccos(cosine) / np.pi * bits)
+def _verified(words: int, seed: int, similarity: float):
+    """Streams rows (component, node, text) sorted by component and node into (node, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        at = None
+
+        def group() -> pa.RecordBatch:
+            label = similar_groups(sets, similarity)
+            name = np.array(nodes, np.int64)
+            _, first = np.unique(label, return_index=True)
+            root = name[first[np.searchsorted(label[first], label)]]
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(root)], ["node", "root"])
+
+        for b in batches:
+            for component, node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_bytes(b.column(2))):
+                if component != at and sets:
+                    yield group()
+                    nodes, sets = [], []
+                at = component
+                if nodes and nodes[-1] == node:
+                    continue
+                h = shingle_set(bytes(raw), words, seed)
+                if len(h) and set_name(h) == node:  # else another text of an id that is not unique
+                    nodes.append(node)
+                    sets.append(h)
+        if sets:
+            yield group()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id): documents whose five-word shingles are estimated to be as similar as asked, linked.
+    """(id, component_id): documents linked where the Jaccard similarity of their sets of shingles is as asked or more.
 
-    A 1024-bit SimHash estimates the similarity to about 0.025.  Documents meet in buckets by minima of their shingles' hashes
-    and are compared there bit-sliced at the radius of `similarity`.  Texts without words (null ones too) are alike.
+    Documents meet in buckets by minima of their shingles' hashes; SimHashes within a radius clearly wider than
+    asked for make them candidates.  The texts of each component of candidates come together and their sets are
+    compared exactly.  Texts without words (null ones too) are alike; equal sets are one node.
     """
-    prints = cut(fingerprints(docs, words=words, seed=seed, lanes=LOOSE_LANES, bands=LOOSE_BANDS, rows=LOOSE_ROWS, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("node"), F.min("keys").alias("keys")).where("node is not null"))
-    bits = 64 * LOOSE_LANES
-    expected = radius_of(similarity, bits)
-    # half a standard error wider than expected: a miss costs more than a pair just below
-    links = near_links(nodes, expected + int(np.sqrt(expected * (1 - expected / bits)) / 2), LOOSE_LANES)
-    found = components(links)
-    labels = cut(nodes.join(found, nodes.node == found.id, "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(labels, "fp", "left").select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    prints = cut(sketches(docs, words=words, seed=seed, lanes=LOOSE_LANES, bands=LOOSE_BANDS, rows=LOOSE_ROWS, id_col=id_col, text_col=text_col))
+    nodes = cut(prints.where("id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    loose = components(near_links(nodes.select("node", "fp", "keys"), loose_radius(similarity, 64 * LOOSE_LANES), LOOSE_LANES))
+    members = loose.select(F.col("id").alias("node"), "component").union(loose.select(F.col("component").alias("node"), "component").distinct())
+    asked = nodes.select("node", "rep").join(members, "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(asked, "rep").select("component", "node", "text")
+    met = texts.repartition("component").sortWithinPartitions("component", "node")
+    found = cut(arrow_map(met, _verified(words, seed, similarity), "node bigint, root bigint"))
+    roots = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    labels = cut(roots.join(least, "root").select("node", "component_id"))
+    return prints.select("id", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,6 +171,78 @@ def test_near_duplicates_keep_one(spark):
     assert simhash.representatives(empty(spark)).count() == 0
 
 
+def brute_near(rows, words=5):
+    """(id, smallest id reached) over links of exact Jaccard similarity 0.8 or more of sets of shingles."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    low = [i for i, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    return sorted((i, c) for (i, _), c in zip(rows, low))
+
+
+def near_rows():
+    """Short texts, repeated lines, and pairs at, just above and just below 0.8."""
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(10**9)
+    texts = []
+    for n in (5, 6, 7, 8, 8, 8, 9, 9, 10, 11, 14, 20):  # one word appended
+        t = [word() for _ in range(n)]
+        texts += [t, [*t, word()]]
+    for shared in (8, 16, 40, 80, 160):  # shared of 1.25 times as many at 0.8, one more at each end for less
+        for more in (-1, 0, 1):
+            t = [word() for _ in range(shared + 4)]
+            out = shared // 4 + more
+            texts += [[*t, *(word() for _ in range(out // 2))], [*t, *(word() for _ in range(out - out // 2))]]
+    for _ in range(4):  # one line 200 times
+        line, t = [word() for _ in range(8)], [word() for _ in range(60)]
+        texts += [[*line, *line, *t], [*line * 200, *t]]
+    for _ in range(3):  # a chain of small steps
+        t = [word() for _ in range(100)]
+        for k in range(6):
+            t = [*t[3:], *(word() for _ in range(3))]
+            texts.append(t)
+    texts += [[], [], ["one"], ["One"], ["one", "two"]]
+    rng.shuffle(texts)
+    return [(100 + k, " ".join(t)) for k, t in enumerate(texts)] + [(7, None)]
+
+
+def test_near_duplicates_are_those_of_exact_similarity(spark):
+    rows = near_rows()
+    want = brute_near(rows)
+    assert 20 < sum(i != c for i, c in want) < len(rows) - 20
+    assert sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect())) == want
+
+
+def test_similar_groups_against_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, (6, 60)).astype(np.uint64)
+    sets = []
+    for g in rng.integers(0, 6, 250):
+        s = base[g].copy()
+        n = rng.integers(0, 14)
+        s[rng.choice(60, n, replace=False)] = rng.integers(0, 1 << 62, n)
+        sets.append(np.unique(s[: rng.integers(40, 61)]))
+    got = simhash.similar_groups(sets, 0.8)
+    low = list(range(250))
+    for _ in range(250):
+        for a in range(250):
+            for b in range(a):
+                if low[a] != low[b] and 5 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                    low[a] = low[b] = min(low[a], low[b])
+        if len(set(low)) == len(set(got.tolist())):
+            break
+    assert len({*zip(low, got.tolist())}) == len(set(low)) == len(set(got.tolist()))
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, 5000 + k) for k in range(1, 60)] + [(7, 7), (None, 3)]
