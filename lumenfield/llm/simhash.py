@@ -342,8 +342,8 @@ def classes(docs: DataFrame, *, words: int = 3, seed: int = 42, radius: int = 2,
 
 
 #: Fingerprint words of the looser search, and its bands of minima: two texts at similarity s meet in one of
-#: them with probability 1 - (1 - s ** ROWS) ** BANDS; 99 % at 0.8.
-LOOSE_LANES, LOOSE_BANDS, LOOSE_ROWS = 8, 12, 5
+#: them with probability 1 - (1 - s ** ROWS) ** BANDS; at 0.8 three pairs in a million do not.
+LOOSE_LANES, LOOSE_BANDS, LOOSE_ROWS = 8, 24, 4
 
 
 def loose_radius(similarity: float, bits: int) -> int:

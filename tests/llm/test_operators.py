@@ -222,6 +222,17 @@ def test_near_duplicates_are_those_of_exact_similarity(spark):
     assert sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect())) == want
 
 
+def test_bands_meet_at_the_similarity_asked_for():
+    rng = np.random.default_rng(3)
+    odd = simhash.band_factors(simhash.LOOSE_BANDS, simhash.LOOSE_ROWS, 42)
+    missed = 0
+    for _ in range(3000):  # pairs at exactly 0.8
+        h = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+        a, b = (simhash.band_keys(x, odd, simhash.LOOSE_BANDS, simhash.LOOSE_ROWS) for x in (h[:45], np.r_[h[:40], h[45:]]))
+        missed += not (a == b).any()
+    assert missed == 0
+
+
 def test_similar_groups_against_all_pairs():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, (6, 60)).astype(np.uint64)
