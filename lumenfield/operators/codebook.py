@@ -7,8 +7,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 50_000
-
 
 def nearest_entry(v: Column, codebook: list[float]) -> Column:
     """Number of the entry of a sorted codebook that is nearest to v, the higher of two equally near."""
@@ -30,14 +28,17 @@ def pooled(df: DataFrame, columns: list[str], name: str = "v") -> DataFrame:
 
 
 def learn_codebook(df: DataFrame, columns: list[str], k: int = 256, seed: int = 42, iterations: int = 20) -> list[float]:
-    """Sorted centres of a one-dimensional k-means over the pooled columns, fitted on at most SAMPLE values chosen
-    by a seeded hash; fewer different values than k are their own codebook."""
-    values = pooled(df, columns).where("not isnan(v) and v is not null").withColumn("h", F.xxhash64("v", F.lit(seed))).orderBy("h", "v").limit(SAMPLE).select("v").persist()
-    few = [r.v for r in values.distinct().limit(k + 1).collect()]
-    if len(few) <= k:
-        return sorted(few)
-    model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="f").fit(values.select(array_to_vector(F.array("v")).alias("f")))
-    return sorted(float(c[0]) for c in model.clusterCenters())
+    """Sorted centres of a one-dimensional k-means over all pooled values, each different value weighted by its
+    count; where no more than k values differ they are their own codebook."""
+    values = pooled(df, columns).where("not isnan(v) and v is not null").groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w")).orderBy("v").persist()
+    try:
+        few = [r.v for r in values.limit(k + 1).collect()]
+        if len(few) <= k:
+            return sorted(few)
+        model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="f", weightCol="w").fit(values.select(array_to_vector(F.array("v")).alias("f"), "w"))
+        return sorted(float(c[0]) for c in model.clusterCenters())
+    finally:
+        values.unpersist()
 
 
 def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42, iterations: int = 10) -> tuple[DataFrame, list[list[float]]]:

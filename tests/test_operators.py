@@ -131,6 +131,16 @@ def test_codebook_ties(spark):
     assert len(centres) == 5 and labelled.count() == 5
 
 
+def test_codebook_is_fitted_on_all_values(spark):
+    """More rows than any sample, of few values: none is lost, and counts weigh."""
+    df = spark.range(120_000).select((-F.pmod("id", F.lit(40)) / 10.0).alias("v"))
+    book = codebook.learn_codebook(df, ["v"], 16)
+    assert len(book) == 16 and book[0] < -3.5 and book[-1] > -0.4
+    assert codebook.learn_codebook(df, ["v"], 40) == sorted(-i / 10.0 for i in range(40))
+    heavy = spark.range(1000).select(F.when(F.col("id") < 998, 0.0).otherwise(F.col("id") - 997.0).alias("v"))
+    assert codebook.learn_codebook(heavy, ["v"], 2)[0] < 0.01
+
+
 def test_sql_functions(spark):
     sqlfuncs.register(spark)
     assert tuple(spark.sql("SELECT splat_sigmoid(0D), splat_pack_8888(1L, 2L, 3L, 4L), splat_fixed24(-1D), round(splat_signed_exp(splat_signed_log(-3D)), 9)").first()) == (0.5, 0x01020304, 0xFFF000, -3.0)
