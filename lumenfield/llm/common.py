@@ -6,6 +6,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +15,24 @@ from pyspark.sql import functions as F
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in one Arrow batch handed to a Python worker.  Bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
+#: Estimated bytes for each core up to which spread() deals rows anew.
+SMALL_BYTES = 8 << 20
+#: Links that are contracted at a time.
+LINKS_AT_ONCE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the cluster names none (tests)."""
+    """The folder that driver and executors share.  Where the session names none, a local session (tests) gets one of
+    its own; a cluster without one is an error, for no machine's own folder will do there."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if where:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(where)
-        return where.rstrip("/")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        where = "file:///tmp/checkpoints/" + uuid.uuid4().hex
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file:///tmp/checkpoints/" + uuid.uuid4().hex)
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,7 +48,11 @@ def release(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches.  The batch size is a session setting read when the plan is made."""
+    """mapInArrow with batches of BATCH_ROWS rows at most.
+
+    Spark reads the batch size from the session when a plan is run, which for a frame that is handed back is later, so the
+    setting is lowered for the session and stays so; a lower one of the caller's is kept.
+    """
     spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key, "10000")
@@ -51,6 +61,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt over all cores if it is small.  A small file is often one row group, which one task reads;
+    its bytes are moved once, and no more than SMALL_BYTES for each core.  Larger tables have tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores * 2) if size <= SMALL_BYTES * cores else df
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
@@ -58,11 +76,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 def raw_bytes(column: pa.Array) -> list[memoryview]:
     """UTF-8 bytes of each string without a copy, null as empty."""
-    column = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
-    valid, offsets, data = column.buffers()
-    import numpy as np
-
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if wide else pa.binary())
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return []
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
     view = memoryview(data) if data is not None else memoryview(b"")
     out = [view[a:b] for a, b in zip(at, at[1:])]
     if column.null_count:
@@ -70,22 +89,75 @@ def raw_bytes(column: pa.Array) -> list[memoryview]:
     return out
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root): every end of the links but the roots, with the smallest id that these links tie it to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        p, q = low[x], low[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+        while (low[low] != low).any():
+            low = low[low]
+    moved = low != np.arange(len(ids))
+    return ids[moved], ids[low[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links to the stars that join the same ids, about LINKS_AT_ONCE at a time."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        both = np.concatenate(held, axis=1)
+        held.clear()
+        return stars(both[0], both[1])
+
+    def rows(ids: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(roots[k : k + (1 << 16)])], ["u", "v"])
+
+    for b in batches:
+        held.append(np.stack([c.to_numpy() for c in b.columns]))
+        n += b.num_rows
+        if n >= LINKS_AT_ONCE:
+            found = flush()
+            if 2 * len(found[0]) > LINKS_AT_ONCE:
+                yield from rows(*found)
+                n = 0
+            else:  # carried on, so that what comes next joins it
+                held.append(np.stack(found))
+                n = len(found[0])
+    if held:
+        yield from rows(*flush())
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long) as (id, component), component the smallest id reached.
 
-    Alternates large-star and small-star steps; both only ever group by one end of a link, the star of a hub
-    is folded by min() with map-side combine, and every round is cut by a checkpoint.  Ids without a link are
-    not returned.  Self-links and repeated links are harmless; null ends are dropped.
+    Links are first contracted where they lie: each partition keeps one link from each id to the smallest id that
+    it knows to be reached.  So after a shuffle an id has at most as many rows as there were partitions, whatever
+    its links, and a hub is no task's burden.  Then large-star and small-star steps alternate with contraction
+    until nothing changes.  Each round is written to the shared folder, and the round before it deleted.
+    Ids without a link are not returned.  Self-links and repeated links are harmless; null ends are dropped.
     """
-    cur = cut(
-        edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
-        .distinct()
-    )
-    if cur.isEmpty():
-        return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    last = None
-    for _ in range(rounds):
+    spark = edges.sparkSession
+    link = "u bigint, v bigint"
+    plain = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.col("a").cast("long"), F.col("b").cast("long"))
+    once = arrow_map(plain, _contract, link).distinct()
+    last, old = None, None
+    while True:
+        cur, path = stash(arrow_map(once, _contract, link).distinct(), "links")
+        if old:
+            drop(spark, old)
+        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now[0] == 0 or tuple(now) == last:
+            return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        last, old = tuple(now), path
         # large star: every larger neighbour of u is tied to the smallest of u's neighbourhood
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -93,13 +165,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours are tied to the smallest of them
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        nxt = cut(small.select("e.u", "e.v").where("u != v").distinct())
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        cur = nxt
-        if tuple(now) == last:
-            return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        last = tuple(now)
-    raise RuntimeError("components did not settle")
+        once = small.select("e.u", "e.v").where("u != v")
 
 
 def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -116,10 +182,14 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of stash() that nothing reads any more, and let go of shuffle files."""
-    jvm = spark.sparkContext._jvm
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of stash() that nothing reads any more."""
     for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """drop(), and let go of shuffle files."""
+    drop(spark, *paths)
     release(spark)
