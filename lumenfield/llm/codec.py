@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Codec
-from .common import arrow_map, texts_of
+from .common import arrow_map, spread, texts_of
 from .tokens import gather, groups
 
 
@@ -28,7 +28,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                 exact = [codec.decode(x) == t for x, t in zip(ids, texts[a:b])]
                 yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().slice(a, b - a).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], [id_col, "ids", "exact"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, ids array<int>, exact boolean")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} bigint, ids array<int>, exact boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -63,4 +63,4 @@ def digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_co
                     right.append(sha(raw.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

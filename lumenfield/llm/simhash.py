@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut, raw_bytes
+from .common import arrow_map, components, cut, raw_bytes, spread
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket above which it is split again by the bits that are still free.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, lanes: int
             fp = np.array([[fold(h if k == 0 else _mix(h, k)) for k in range(lanes)] for h in found], np.uint64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), _lists(fp)], [id_col, "fp"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} bigint, fp array<bigint>")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, f"{id_col} bigint, fp array<bigint>")
 
 
 def shingle_set(raw: bytes, words: int, seed: int) -> np.ndarray:
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame, *, words: int, seed: int, lanes: int, bands: int,
             keys = np.array([band_keys(h, odd, bands, rows) for h in sets], np.uint64).reshape(-1, bands)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), _lists(fp), _lists(keys)], ["id", "node", "fp", "keys"])
 
-    return arrow_map(docs.select(id_col, text_col), run, "id bigint, node bigint, fp array<bigint>, keys array<bigint>")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, "id bigint, node bigint, fp array<bigint>, keys array<bigint>")
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Codec
-from .common import arrow_map, texts_of
+from .common import arrow_map, spread, texts_of
 
 #: Bytes of text whose words are looked up together.
 CHUNK_BYTES = 4 << 20
@@ -68,4 +68,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, *, id_col:
                 names.append("prefix_tokens")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return arrow_map(docs.select(id_col, text_col), run, fields)
+    return arrow_map(spread(docs.select(id_col, text_col)), run, fields)
