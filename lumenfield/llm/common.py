@@ -65,7 +65,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df with its rows dealt over all cores if it is small.  A small file is often one row group, which one task reads;
     its bytes are moved once, and no more than SMALL_BYTES for each core.  Larger tables have tasks enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores * 2) if size <= SMALL_BYTES * cores else df
 
 

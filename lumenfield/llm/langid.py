@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
 A known word scores by its log frequency in each language; an unseen word falls back to character n-grams,
-at each position the longest known one, down to single letters.
+at each position the longest known one, down to single letters.  Counts are tables in the shared folder that every
+worker reads, so neither words, n-grams nor languages pass through the driver or are cut off.
 """
 
 from __future__ import annotations
@@ -9,32 +10,26 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, texts_of
+from .common import arrow_map, cut, spread, stash, texts_of
 from .tokens import gather
 
 _RUN = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
-CACHE_WORDS = 300_000
-
-
-@dataclass
-class Model:
-    """languages in code-point order; a row of log frequencies for each known word and n-gram."""
-
-    languages: list[str]
-    words: list[str]
-    word_rows: np.ndarray
-    grams: list[str]
-    gram_rows: np.ndarray
-    #: log frequency of a letter never seen, by language
-    floor: np.ndarray
+#: N-grams from this length on tell that a word looks like one of the language.
+LONG_GRAM = 3
+#: Weight that an item not seen in a language has among its counts.
+UNSEEN = 0.1
+#: Words that a text's score weighs at most, so that long texts do not all end at 1.
+MOST_WEIGHT = 50
+#: Bytes of scores, and letters of tokens, that a worker keeps before it starts anew.
+CACHE_BYTES, CACHE_LETTERS = 16 << 20, 8 << 20
+_COUNTED = "lang string, item string, n bigint"
 
 
 def _grams(word: str) -> Iterator[str]:
@@ -44,9 +39,9 @@ def _grams(word: str) -> Iterator[str]:
             yield padded[i : i + n]
 
 
-def _flush(held: Counter, item: str) -> pa.RecordBatch:
+def _flush(held: Counter) -> pa.RecordBatch:
     keys = list(held)
-    out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([held[k] for k in keys], pa.int64())], ["lang", item, "n"])
+    out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([held[k] for k in keys], pa.int64())], ["lang", "item", "n"])
     held.clear()
     return out
 
@@ -56,10 +51,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             held.update((lang, w) for w in _RUN.findall(text.lower()))
-            if len(held) > 200_000:
-                yield _flush(held, "item")
+            if len(held) > 100_000:
+                yield _flush(held)
     if held:
-        yield _flush(held, "item")
+        yield _flush(held)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,128 +63,164 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
             for g in _grams(word):
                 held[lang, g] += n
-        if len(held) > 200_000:
-            yield _flush(held, "item")
+            if len(held) > 100_000:
+                yield _flush(held)
     if held:
-        yield _flush(held, "item")
+        yield _flush(held)
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 8_000, max_words: int = 120_000, max_grams: int = 60_000, max_languages: int = 256) -> Model:
-    """Fit a model on labelled rows (null texts and labels are left out).
+def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 8_000) -> str:
+    """Count words and n-grams of labelled rows by language; returns the folder of the two tables.
 
-    sample_rows bounds the rows that are learned from, shared evenly among languages and chosen by a hash of
-    the id; max_words and max_grams bound the model's entries (the most frequent within their language) and
-    max_languages its languages (those with most rows).  These bounds hold the model to a few MB at any input.
+    Rows with a null text or label are left out.  sample_rows bounds the rows learned from, about: it is shared evenly
+    among languages, each of which gives the rows whose id has a low hash.  All words and n-grams of those rows count.
     """
+    spark = labelled.sparkSession
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not by_lang:
-        return Model([], [], np.zeros((0, 0), np.float32), [], np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    languages = sorted(by_lang)
-    each = sample_rows / len(languages)
-    keep = F.lit(False)
-    for lang, n in by_lang.items():
-        most = min(1 << 20, max(1, round(each / n * (1 << 20))))
-        keep = F.when(F.col("lang") == lang, F.pmod(F.xxhash64(F.col("i")), F.lit(1 << 20)) < most).otherwise(keep)
-    counted = "lang string, item string, n bigint"
-    words = cut(arrow_map(rows.where(keep).select("lang", "text"), _count_words, counted).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    grams = cut(arrow_map(words, _count_grams, counted).groupBy("lang", "item").agg(F.sum("n").alias("n")))
-    parts = []
-    for table, most in ((words, max_words), (grams, max_grams)):
-        totals = {r["lang"]: r["t"] for r in table.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
-        share = F.lit(0.0)
-        for lang, t in totals.items():
-            share = F.when(F.col("lang") == lang, F.col("n") / F.lit(float(t))).otherwise(share)
-        found = table.withColumn("share", share).orderBy(F.desc("share"), "lang", "item").limit(most).select("lang", "item", "n").collect()
-        items = sorted({r["item"] for r in found})
-        at, col = {x: i for i, x in enumerate(items)}, {x: i for i, x in enumerate(languages)}
-        n = np.zeros((len(items), len(languages)))
-        for r in found:
-            n[at[r["item"]], col[r["lang"]]] = r["n"]
-        t = np.array([totals.get(x, 0) for x in languages], float)
-        parts += [items, np.log((n + 0.1) / (t + 0.1 * (len(items) + 1))).astype(np.float32), np.log(0.1 / (t + 0.1 * (len(items) + 1))).astype(np.float32)]
-    return Model(languages, parts[0], parts[1], parts[3], parts[4], parts[5])
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    each = sample_rows / max(1, sizes.count())
+    most = F.least(F.lit(float(1 << 40)), F.greatest(F.lit(1.0), F.lit(each * (1 << 40)) / F.col("n")))
+    shares = sizes.select(F.col("lang").alias("l"), most.alias("most"))
+    sample = rows.join(shares, rows.lang == shares.l).where(F.pmod(F.xxhash64("i"), F.lit(1 << 40)) < F.col("most")).select("lang", "text")
+    words, at = stash(arrow_map(sample, _count_words, _COUNTED).groupBy("lang", "item").agg(F.sum("n").alias("n")), "words")
+    grams = arrow_map(words, _count_grams, _COUNTED).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    grams.write.option("compression", "zstd").parquet(f"{at}-grams")
+    return at
+
+
+class Counts:
+    """Log frequencies of items by language, kept for the languages in which an item was seen."""
+
+    def __init__(self, langs: pa.ChunkedArray, items: pa.ChunkedArray, n: np.ndarray, languages: list[str]):
+        col = {x: i for i, x in enumerate(languages)}
+        coded = langs.combine_chunks().dictionary_encode()
+        column = np.array([col[x] for x in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int32)
+        named = items.combine_chunks().dictionary_encode()
+        names, row = named.dictionary.to_pylist(), named.indices.to_numpy()
+        total = np.bincount(column, n, len(languages))
+        whole = total + UNSEEN * (len(names) + 1)
+        order = np.argsort(row, kind="stable")
+        self.at = dict(zip(names, range(len(names))))
+        self.start = np.searchsorted(row[order], np.arange(len(names) + 1))
+        self.column, n = column[order], n[order]
+        self.value = np.log((n + UNSEEN) / whole[self.column]).astype(np.float32)
+        #: log frequency of an item not seen in a language
+        self.floor = np.log(UNSEEN / whole).astype(np.float32)
+
+    def row(self, i: int) -> np.ndarray:
+        out = self.floor.copy()
+        a, b = self.start[i], self.start[i + 1]
+        out[self.column[a:b]] = self.value[a:b]
+        return out
 
 
 class Scorer:
-    """A model with a bounded cache of the scores of raw tokens."""
-
-    def __init__(self, model: Model):
-        self.m = model
-        self.words = {w: i for i, w in enumerate(model.words)}
-        self.grams = {g: i for i, g in enumerate(model.grams)}
+    """A model read from fit()'s folder, with a bounded cache of the scores of raw tokens."""
+
+    def __init__(self, folder: str):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        tables = []
+        for path in (folder, f"{folder}-grams"):
+            system, base = fs.FileSystem.from_uri(path)
+            tables.append(pq.read_table(base, filesystem=system, columns=["lang", "item", "n"]))
+        self.languages = sorted(set(tables[0].column(0).unique().to_pylist()))
+        self.words, self.grams = (Counts(t.column(0), t.column(1), t.column(2).to_numpy(), self.languages) for t in tables)
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((4096, len(self.m.languages) + 1), np.float32)  # the last column counts words
+        self.letters = 0
+        self.rows = np.zeros((1024, len(self.languages) + 2), np.float32)  # the last two columns: words, and how many look known
 
-    def word(self, w: str) -> np.ndarray:
-        """Log frequencies by language, by word, else by the longest known n-gram at each position."""
-        i = self.words.get(w)
+    def word(self, w: str) -> tuple[np.ndarray, float]:
+        """Log frequencies by language, by word, else by the longest known n-gram at each position; and whether the word
+        is known, or the share of positions with a long n-gram."""
+        i = self.words.at.get(w)
         if i is not None:
-            return self.m.word_rows[i]
-        padded, total, n = f" {w} ", np.zeros(len(self.m.languages), np.float32), 0
-        for p in range(max(1, len(padded) - 1)):
+            return self.words.row(i), 1.0
+        padded, total, long = f" {w} ", np.zeros(len(self.languages), np.float64), 0
+        n = max(1, len(padded) - 1)
+        get = self.grams.at.get
+        for p in range(n):
             for size in range(min(LONGEST_GRAM, len(padded) - p), 0, -1):
-                g = self.grams.get(padded[p : p + size])
+                g = get(padded[p : p + size])
                 if g is not None:
-                    total += self.m.gram_rows[g]
+                    total += self.grams.row(g)
+                    long += size >= LONG_GRAM
                     break
             else:
-                total += self.m.floor
-            n += 1
-        return total / n
+                total += self.grams.floor
+        return (total / n).astype(np.float32), long / n
 
     def learn(self, tokens: set[str]) -> None:
         new = tokens - self.at.keys()
-        if new and len(self.at) + len(new) > CACHE_WORDS:
+        most = max(1024, CACHE_BYTES // (4 * self.rows.shape[1]))
+        if new and (len(self.at) + len(new) > most or self.letters > CACHE_LETTERS):
             self.reset()
             new = tokens
         for t in new:
             k = self.at[t] = len(self.at)
+            self.letters += len(t)
             if k >= len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             row = self.rows[k]
             for w in _RUN.findall(t):
                 if any(map(str.isalpha, w)):
-                    row[:-1] += self.word(w)
-                    row[-1] += 1
-
-    def score(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Language and posterior (uniform prior, evidence of at most 50 words' weight) of each text."""
+                    scores, known = self.word(w)
+                    row[:-2] += scores
+                    row[-2] += 1
+                    row[-1] += known
+
+    def score(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Language, posterior (uniform prior, the weight of MOST_WEIGHT words at most) and fit of each text: how many of
+        its words are known, unknown ones by their long n-grams."""
         split = [t.lower().split() for t in texts]
         self.learn(set().union(*split) if split else set())
         get, out = self.at.__getitem__, []
+        step = max(1, (1 << 22) // self.rows.shape[1])
         for tokens in split:
-            total = self.rows[list(map(get, tokens))].sum(0, dtype=np.float64) if tokens else np.zeros(self.rows.shape[1])
-            if not total[-1] or not self.m.languages:
-                out.append(("und", 0.0))
+            total = np.zeros(self.rows.shape[1])
+            for k in range(0, len(tokens), step):
+                total += self.rows[list(map(get, tokens[k : k + step]))].sum(0, dtype=np.float64)
+            if not total[-2] or not self.languages:
+                out.append(("und", 0.0, 0.0))
                 continue
-            z = total[:-1] / total[-1] * min(total[-1], 50)
+            z = total[:-2] / total[-2] * min(total[-2], MOST_WEIGHT)
             k = int(np.argmax(z))
-            out.append((self.m.languages[k], float(1 / np.exp(z - z[k]).sum())))
+            out.append((self.languages[k], float(1 / np.exp(z - z[k]).sum()), float(total[-1] / total[-2])))
         return out
 
 
-def predict(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score of each whole text.
+#: The model that this process read last.
+_read: dict[str, Scorer] = {}
+
+
+def scorer(folder: str) -> Scorer:
+    if folder not in _read:
+        _read.clear()
+        _read[folder] = Scorer(folder)
+    return _read[folder]
+
+
+def predict(docs: DataFrame, folder: str, *, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `keep` of docs with lang_pred, score and fit of each whole text, by the model in fit()'s folder.
 
-    A null text, a text without a letter, or a model without languages gives `und` and score 0.  Ties go to
-    the language first by code point.
+    A null text, a text without a letter, or a model without languages gives `und` and 0.  Ties go to the language
+    first by code point.  Repeated rows give repeated results, an empty table an empty one; columns that are not
+    in `keep` may have any names.  A very long text takes memory for its words.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few MB by fit()'s bounds
-    plain = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in plain.schema.fields[:-1]) + ",lang_pred:string,score:double>"
+    plain = spread(docs.select(*keep, F.col(text_col).alias("__text")))
+    fields = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in plain.schema.fields[:-1]) + ",lang_pred:string,score:double,fit:double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for table in gather(batches):
-            texts = texts_of(table.column(table.num_columns - 1))
-            got = scorer.score(texts)
-            columns = [c.combine_chunks() for c in table.columns[:-1]] + [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], [*table.column_names[:-1], "lang_pred", "score"])
+            got = scorer(folder).score(texts_of(table.column(table.num_columns - 1)))
+            columns = [c.combine_chunks() for c in table.columns[:-1]]
+            columns = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            columns += [pa.array([x for x, *_ in got], pa.string()), pa.array([x for _, x, _ in got], pa.float64()), pa.array([x for *_, x in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*table.column_names[:-1], "lang_pred", "score", "fit"])
 
     return arrow_map(plain, run, fields)
 
@@ -200,18 +231,20 @@ def held_out(id_col: str = "doc_id") -> "F.Column":
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, **bounds: int) -> DataFrame:
-    """Fit on the labelled rows that are not held out, then predict every row."""
-    model = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col=text_col, lang_col=lang_col, id_col=id_col, **bounds)
-    return predict(docs, model, keep=keep or [id_col], text_col=text_col)
+    """Fit on the labelled rows that are not held out, then predict every row; edge rows as in predict()."""
+    folder = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col=text_col, lang_col=lang_col, id_col=id_col, **bounds)
+    return predict(docs, folder, keep=keep or [id_col], text_col=text_col)
 
 
-def accepted(docs: DataFrame, *, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
-    """The rows of docs, with their columns, whose language is known: predicted, and with a score of at least `least`.
+def accepted(docs: DataFrame, *, least: float = 0.3, least_fit: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
+    """The rows of docs, with their columns whatever their names, whose language is known: predicted, with a score of
+    at least `least`, and made of words that are known or look so by at least `least_fit`.
 
-    Null texts and texts without a letter go.  Where nothing is labelled no language is known and all rows go.
+    Null texts and texts without a letter go; repeated rows share their fate; an empty table, or one where nothing is
+    labelled, so that no language is known, leaves no rows.
     """
-    model = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col=text_col, lang_col=lang_col, id_col=id_col, **bounds)
+    folder = fit(docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)), text_col=text_col, lang_col=lang_col, id_col=id_col, **bounds)
     inside = docs.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(docs.columns)))
-    told = predict(inside, model, keep=inside.columns, text_col=f"__{docs.columns.index(text_col)}")
-    told = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    told = predict(inside, folder, keep=inside.columns, text_col=f"__{docs.columns.index(text_col)}")
+    told = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= least_fit))
     return told.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)))
