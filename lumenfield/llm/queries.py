@@ -71,13 +71,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _OP7 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
-d AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first, row_number() OVER (PARTITION BY hex ORDER BY page_id) AS nth FROM p),
 bits AS (SELECT *, list_transform(range(32), lambda i: (
     ('0x' || substr(hex, (1 + (i * 5) // 4)::BIGINT, 2))::BIGINT // CAST(pow(2, 3 - (i * 5) % 4) AS BIGINT)) % 32) AS five FROM d)
 SELECT page_id, payload_bytes,
   list_aggregate(list_transform(five, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN nth = 1 OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first END AS refers_to
 FROM bits"""
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, shared_dir
+from .common import arrow_map, cut, shared_dir, stash
 
 LEVEL = 1
 _PIECE = 1 << 18
@@ -188,21 +188,36 @@ def _read_archives(folder: str):
 def archive(pages: DataFrame, *, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write every row as a WARC record and return (archive, records), the files written.
 
-    Of rows with equal payloads of at least `least_bytes` bytes the one with the smallest id is a response and
-    the others are revisits of it; all other rows are responses.  A null payload is empty, a null url is
-    written as urn:none.  Files whose task is run again are written anew under other names, so only those
-    named in the result count.  Equal ids with equal payloads: one row is the response, all that refer name it.
+    Of rows with equal payloads of at least `least_bytes` bytes the one with the smallest id is the response and the
+    others are revisits of it; all other rows are responses.  Of rows with that id the one with the smallest url (null
+    first) is it, and of wholly equal rows one.  A row with a null id never is while another one has an id; where none
+    has, all are responses.  A null payload is empty, a null url is written as urn:none; an empty table gives
+    no files; further columns are not read.  Files whose task is run again are written anew under other names, so
+    only those named in the result count.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
     text = F.coalesce(F.col("html"), F.lit(""))
-    digest = F.sha1(text.cast("binary"))
-    # the smallest id of each payload that repeats; only digests are shuffled here
-    first = plain.select("page_id", digest.alias("hex"), F.octet_length(text).alias("size")).where(F.col("size") >= least_bytes).groupBy("hex").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hex", "first")
-    first = cut(first)
-    named = plain.withColumn("hex", digest).join(first, "hex", "left")
-    rows = named.select("page_id", "url", F.when(F.col("first").isNull() | (F.col("first") == F.col("page_id")), F.col("html")).alias("html"), F.col("hex").alias("digest"), F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers"))
+    plain = plain.withColumn("hex", F.sha1(text.cast("binary")))
+    # who is the response of each payload that repeats: only digests, ids and urls move
+    each = plain.where(F.octet_length(text) >= least_bytes).groupBy("hex", "page_id", "url").agg(F.count(F.lit(1)).alias("k"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "k"))
+    first = each.groupBy("hex").agg(F.min(named).alias("f"), F.sum("k").alias("n")).where("n > 1 and f is not null")
+    own = F.col("page_id").eqNullSafe(F.col("f.page_id")) & F.col("url").eqNullSafe(F.col("f.url"))
+    roles, _ = stash(each.join(first, "hex").select(F.col("hex").alias("h"), F.col("page_id").alias("i"), F.col("url").alias("u"), "k", F.col("f.page_id").alias("first"), own.alias("own")), "roles")
+    # payloads meet their roles by digest, id and url, so copies of one payload spread over tasks
+    met = plain.join(roles, (F.col("hex") == F.col("h")) & F.col("page_id").eqNullSafe(F.col("i")) & F.col("url").eqNullSafe(F.col("u")), "left")
+    row = lambda df, stays: df.select("page_id", "url", F.when(stays, F.col("html")).alias("html"), F.col("hex").alias("digest"), F.when(~stays, F.col("first")).alias("refers"))
+    twins = roles.where("own and k > 1")
+    if twins.isEmpty():
+        rows = row(met, F.col("first").isNull() | F.col("own"))
+    else:
+        single = F.col("first").isNull() | (F.col("own") & (F.col("k") == 1))
+        rows = row(met.where(single | ~F.col("own")), single)
+        rows = rows.unionByName(row(met.where("own and k > 1").dropDuplicates(["hex"]), F.lit(True)))
+        more = twins.withColumn("nth", F.explode(F.sequence(F.lit(2).cast("long"), "k")))
+        rows = rows.unionByName(more.select(F.col("i").alias("page_id"), F.col("u").alias("url"), F.lit(None).cast("string").alias("html"), F.col("h").alias("digest"), F.col("first").alias("refers")))
     return cut(arrow_map(rows, _hex_to_32(_write_archives(folder)), "archive string, records bigint"))
 
 
