@@ -5,7 +5,8 @@ at both.  A suffix array of all texts would not fit one machine; suffixes are de
 hash of a KGRAM-byte string within their first SPAN bytes (equal suffixes hold the same one), and neighbours
 with the same anchor travel together as one segment.  Only anchors that two different texts share go on.
 Within a task the suffixes of an anchor are sorted: multikey quicksort to a shallow depth, run on all groups in
-step, then blind tries for the groups whose members still agree.
+step, then blind tries for the groups whose members still agree.  The suffixes of an anchor with many segments are
+dealt to tasks by ranges of their own bytes first; equal ones that a border parts are brought together by it.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ WIDE = SPAN - KGRAM + 1
 PIECE = 1 << 17
 _LOW = np.uint64((1 << 20) - 1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
-#: Segments of an anchor above which its suffixes are compared one by one across tasks instead.
-HOT_SEGMENTS = 512
-#: Suffixes that are sorted at a time, at most (a group may exceed it: HOT_SEGMENTS * WIDE at most).
-SORT_AT_ONCE = 1 << 20
+#: Segments of an anchor above which its suffixes are dealt by ranges before they are sorted.
+SPLIT_ABOVE = 512
+#: Suffixes that are sorted at a time, at most (a group may exceed it: SPLIT_ABOVE * WIDE at most), and in a range, about.
+SORT_AT_ONCE, RANGE = 1 << 20, 1 << 18
 
 
 def _hashes(buf: np.ndarray) -> np.ndarray:
@@ -200,39 +201,68 @@ class _BlindTries:
         return out
 
 
-def equal_suffixes(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes equal in their first SPAN bytes within a group: (order, class of each in that order).
-
-    Suffixes that equal no other one of their group are left out.
-    """
+    def ranks(self, size: np.ndarray) -> np.ndarray:
+        """Where each leaf stands in the order of its group; size: suffixes that a leaf stands for."""
+        levels, at = [], self.root[self.root >= 0]
+        while len(at):
+            levels.append(at)
+            below = self.down[at].ravel()
+            at = below[below >= 0]
+        weight = np.zeros(self.used, np.int64)
+        of = lambda x: np.where(x < 0, size[np.where(x < 0, ~x, 0)], weight[np.where(x < 0, 0, x)])
+        for at in reversed(levels):
+            weight[at] = of(self.down[at, 0]) + of(self.down[at, 1])
+        rank, base = np.zeros(len(size), np.int64), np.zeros(self.used, np.int64)
+        for at in levels:
+            for x, b in ((self.down[at, 0], base[at]), (self.down[at, 1], base[at] + of(self.down[at, 0]))):
+                leaf = x < 0
+                rank[~x[leaf]] = b[leaf]
+                base[x[~leaf]] = b[~leaf]
+        return rank
+
+
+def sort_suffixes(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by group and their first SPAN bytes: (order, class of each in that order); equal ones of a group
+    are one class, named by where it begins in the order."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(group, kind="stable")
     head = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))[start[order]].astype(np.uint64)
     own = group[order]
-    start_of = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+    start_of = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     move, groups = _multikey(head, np.repeat(start_of, np.diff(np.r_[start_of, len(own)])))  # shallow
     order = order[move]
-    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     size = np.diff(np.r_[first, len(groups)])
-    many = size > 1
-    order = order[np.repeat(many, size)]
-    size = size[many]
+    first, size = first[size > 1], size[size > 1]
+    cls = np.arange(len(order))
     if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return order, cls
     # deep: groups by size, so that those that still have a member to insert stand in front
-    words = _words_at(buf, start[order])
-    first = np.cumsum(size) - size
     by_size = np.argsort(-size, kind="stable")
-    first, left = first[by_size], size[by_size]
-    tries = _BlindTries(words, len(left))
-    tries.root[:] = ~first
-    cls = np.arange(len(order))
-    for k in range(1, int(left[0])):
-        n = int(np.searchsorted(-left, -k, "left"))  # groups with more than k members
-        leaf = first[:n] + k
-        cls[leaf] = tries.insert(np.arange(n), leaf)
-    repeat = np.bincount(cls, minlength=len(order))[cls] > 1
-    keep = np.flatnonzero(repeat)
-    keep = keep[np.argsort(cls[keep], kind="stable")]
+    first, size = first[by_size], size[by_size]
+    begin = np.cumsum(size) - size
+    slot = np.repeat(first - begin, size) + np.arange(int(size.sum()))  # where a member stands in the order
+    words = _words_at(buf, start[order[slot]])
+    tries = _BlindTries(words, len(size))
+    tries.root[:] = ~begin
+    leaf_of = np.arange(len(slot))
+    for k in range(1, int(size[0])):
+        n = int(np.searchsorted(-size, -k, "left"))  # groups with more than k members
+        leaf = begin[:n] + k
+        leaf_of[leaf] = tries.insert(np.arange(n), leaf)
+    weight = np.bincount(leaf_of, minlength=len(slot))
+    at = np.repeat(first, size) + tries.ranks(weight)[leaf_of]  # where the class of a member begins
+    move = np.argsort(at, kind="stable")
+    place = np.sort(slot)
+    order[place], cls[place] = order[slot[move]], at[move]
+    return order, cls
+
+
+def equal_suffixes(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, class) of sort_suffixes() without the suffixes that equal no other one of their group."""
+    order, cls = sort_suffixes(buf, start, group)
+    keep = np.flatnonzero(np.bincount(cls, minlength=len(order))[cls] > 1) if len(cls) else cls
     return order[keep], cls[keep]
 
 
@@ -352,6 +382,32 @@ def _sorted_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield solve(rest)
 
 
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (suf, anchor, key, owner, nth), a range of suffixes, to those that equal one of a smaller owner.
+
+    The first and the last class of a range may go on in another one: what stands for its least owner there is given
+    with its bytes.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    raw = b"".join(t.column(0).to_pylist())
+    buf = np.frombuffer(raw + b"\0" * 64, np.uint8)
+    owner = t.column(3).to_numpy()
+    order, cls = sort_suffixes(buf, np.arange(t.num_rows) * SPAN, np.zeros(t.num_rows, np.int64))
+    cut_at = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+    least = np.repeat(np.minimum.reduceat(owner[order], cut_at), np.diff(np.r_[cut_at, len(cls)]))
+    more = owner[order] > least
+    edge = ~more & ((cls == cls[0]) | (cls == cls[-1]))
+    for pick, told in ((order[more], False), (order[edge], True)):
+        for k in range(0, len(pick), 1 << 14):
+            rows = t.take(pa.array(pick[k : k + (1 << 14)])).combine_chunks()
+            suf = rows.column(0) if told else pa.nulls(rows.num_rows, pa.binary())
+            columns = [suf, *rows.columns[1:]]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["suf", "anchor", "key", "owner", "nth"])
+
+
 def _removed(size: int, start: list[int], mask: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by suffixes that are repeats."""
     runs: list[tuple[int, int]] = []
@@ -405,7 +461,7 @@ def _packed(at: str = "mark") -> Column:
     return F.col(at).bitwiseAND(F.lit(4095))
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256[, kept binary]) of each row: its text without each byte that
     lies in a SPAN-byte string which also starts in a row with a smaller id.
 
@@ -417,10 +473,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
     long = src.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull())
     # texts that stand whole under a smaller id go whole; only the first of each class is searched
-    prints = long.select("id", "digest", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"))
-    first = prints.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    prints = long.select("id", "digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    first = prints.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     first, first_at = stash(first, "classes")
-    whole, _ = stash(prints.join(first.hint("shuffle_hash"), "md5").where("id > least").select("id", "digest").distinct(), "whole")
+    whole, _ = stash(prints.join(first.hint("shuffle_hash"), "sha").where("id > least").select("id", "digest").distinct(), "whole")
     discard(spark, first_at)
     # anchors that two different texts share
     shared = arrow_map(long.select("id", "digest", "text"), _anchors(True), "anchor bigint, digest bigint").groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("anchor")
@@ -437,21 +493,27 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     each = cut_out.groupBy("anchor", "seg", _packed().alias("mark"), "key").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
     each, each_at = stash(each, "each")
     release(spark)
-    crowd = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("anchor")
+    crowd = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_above)
     crowd, crowd_at = stash(crowd, "crowded")
     calm = each.join(crowd, "anchor", "left_anti").select("anchor", "seg", "mark", "owner", "key").repartition("anchor").sortWithinPartitions("anchor")
-    calm = arrow_map(calm, _sorted_masks, "anchor bigint, key bigint, owner bigint, mask bigint")
-    # anchors with too many segments for one task: their suffixes by the digest of their own SPAN bytes
-    nth = F.posexplode(F.transform(F.sequence(F.lit(0), (F.shiftright("mark", 6) - 1).cast("int")), lambda i: F.unhex(F.md5(F.substring(F.col("seg"), i + 1, F.lit(SPAN))))))
-    single = each.join(crowd, "anchor", "left_semi").select("anchor", "key", "owner", nth.alias("nth", "own"))
-    least = single.groupBy("own").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select("own", "least")
-    hit = single.join(least.hint("shuffle_hash"), "own").where("owner > least").groupBy("anchor", "key", "owner").agg(F.expr("bit_or(shiftleft(1L, nth))").alias("mask"))
-    found = calm.where("mask <> 0").unionByName(hit)
+    found = arrow_map(calm, _sorted_masks, "anchor bigint, key bigint, owner bigint, mask bigint").where("mask <> 0")
+    many = crowd.agg(F.sum("n")).first()[0]
+    if many:
+        # anchors with too many segments for one task: their suffixes by ranges, sorted alike
+        nth = F.posexplode(F.transform(F.sequence(F.lit(0), (F.shiftright("mark", 6) - 1).cast("int")), lambda i: F.substring(F.col("seg"), i + 1, F.lit(SPAN))))
+        single = each.join(crowd, "anchor", "left_semi").select("anchor", "key", "owner", nth.alias("nth", "suf"))
+        dealt = single.repartitionByRange(-(-many * WIDE // RANGE), "suf", "key", "nth").select("suf", "anchor", "key", "owner", "nth")
+        ranged, ranged_at = stash(arrow_map(dealt, _ranged, "suf binary, anchor bigint, key bigint, owner bigint, nth int"), "ranges")
+        edges = ranged.where("suf is not null")
+        least = edges.groupBy("suf").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most").select(F.col("suf").alias("own"), "least")
+        more = edges.join(least, F.col("suf") == F.col("own")).where("owner > least").select("anchor", "key", "owner", "nth")
+        hit = ranged.where("suf is null").select("anchor", "key", "owner", "nth").unionByName(more)
+        found = found.unionByName(hit.groupBy("anchor", "key", "owner").agg(F.expr("bit_or(shiftleft(1L, nth))").alias("mask")))
     found, found_at = stash(found, "masks")
     # what a segment loses in its own document, and in all documents after its least id
     loss = each.where("owner < last").select("anchor", "key", "owner").join(found, ["anchor", "key", "owner"], "full_outer").select("anchor", "key", "owner", F.coalesce("mask", F.lit(0)).alias("mask"))
     loss, loss_at = stash(loss, "losses")
-    discard(spark, each_at, crowd_at, found_at)
+    discard(spark, each_at, crowd_at, found_at, *([ranged_at] if many else []))
     full = F.expr("shiftleft(1L, cast(shiftright(mark & 4095L, 6) as int)) - 1L")
     lost = cut_out.select("anchor", "key", "id", "digest", "mark").join(loss.hint("shuffle_hash"), ["anchor", "key"]).select("id", "digest", F.shiftright("mark", 12).alias("start"), F.when(F.col("id") > F.col("owner"), full).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     lost = lost.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "mask")).alias("lost")).select("id", "digest", F.col("lost.start").alias("starts"), F.col("lost.mask").alias("masks"))

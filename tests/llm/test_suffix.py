@@ -58,11 +58,12 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 512), (2, 512), (3, 2)])
-def test_repeats_equal_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed, most", [(1, 512), (2, 512), (3, 2), (4, 0)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(suffix, "RANGE", 2048)  # many ranges, so that classes lie across their borders
     rows = corpus(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    assert found(df, hot_segments=hot) == brute([r[:2] for r in rows])
+    assert found(df, split_above=most) == brute([r[:2] for r in rows])
 
 
 def test_edge_rows(spark):
@@ -98,3 +99,29 @@ def test_equal_suffixes_equal_a_dictionary():
     for o, c in zip(order.tolist(), cls.tolist()):
         got.setdefault(c, set()).add(o)
     assert {frozenset(x) for x in got.values()} == want
+
+
+def test_order_equals_sorted():
+    rng = np.random.default_rng(6)
+    for letters, p in ((b"ab", [0.97, 0.03]), (b"abc\0\xff", [0.2] * 5)):
+        buf = rng.choice(np.frombuffer(letters, np.uint8), 3000, p=p)
+        padded = np.concatenate([buf, np.zeros(64, np.uint8)])
+        start = rng.permutation(len(buf) - 49)
+        group = rng.integers(0, 4, len(start))
+        order, cls = suffix.sort_suffixes(padded, start, group)
+        key = lambda i: (int(group[i]), buf[start[i] : start[i] + 50].tobytes())
+        keys = [key(i) for i in order]
+        assert sorted(order.tolist()) == list(range(len(start))) and keys == sorted(keys)
+        first = {}
+        assert cls.tolist() == [first.setdefault(k, n) for n, k in enumerate(keys)]
+    order, cls = suffix.sort_suffixes(padded, start[:0], group[:0])
+    assert not len(order) and not len(cls)
+
+
+def test_equal_suffixes_on_both_sides_of_borders(spark, monkeypatch):
+    """One passage in many surroundings, so that its suffixes fill several ranges."""
+    monkeypatch.setattr(suffix, "RANGE", 300)
+    rng = random.Random(7)
+    passage = "".join(rng.choices("abcdefgh ", k=120))
+    rows = [(i, "".join(rng.choices("xyz", k=rng.randint(1, 40))) + passage[: rng.randint(60, 120)] + "".join(rng.choices("uvw", k=20)), None) for i in range(150)]
+    assert found(spark.createDataFrame(rows, SCHEMA), split_above=3) == brute([r[:2] for r in rows])
