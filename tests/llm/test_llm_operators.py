@@ -312,8 +312,7 @@ def test_media(spark):
             want = raw + b" " * (-len(raw) % 192 if raw else 192)
             r = got[i]
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
-    stored = media.store(docs(spark, rows))
-    assert media.decode_pcm(stored).count() == len(rows) and media.digests(empty(spark)).count() == 0
+    assert media.digests(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         media.read_wave(b"nothing")
 
