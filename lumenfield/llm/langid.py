@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, spread, stash, texts_of
+from .common import arrow_map, spread, stash, texts_of
 from .tokens import gather
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -77,7 +77,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes, _ = stash(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # small, and known to be
     each = sample_rows / max(1, sizes.count())
     most = F.least(F.lit(float(1 << 40)), F.greatest(F.lit(1.0), F.lit(each * (1 << 40)) / F.col("n")))
     shares = sizes.select(F.col("lang").alias("l"), most.alias("most"))
@@ -101,16 +101,19 @@ class Counts:
         whole = total + UNSEEN * (len(names) + 1)
         order = np.argsort(row, kind="stable")
         self.at = dict(zip(names, range(len(names))))
-        self.start = np.searchsorted(row[order], np.arange(len(names) + 1))
+        self.start = np.append(np.searchsorted(row[order], np.arange(len(names) + 1)), 0)  # the last for -1
         self.column, n = column[order], n[order]
         self.value = np.log((n + UNSEEN) / whole[self.column]).astype(np.float32)
         #: log frequency of an item not seen in a language
         self.floor = np.log(UNSEEN / whole).astype(np.float32)
 
-    def row(self, i: int) -> np.ndarray:
-        out = self.floor.copy()
-        a, b = self.start[i], self.start[i + 1]
-        out[self.column[a:b]] = self.value[a:b]
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """Log frequencies of items by language; -1 is an item not seen at all."""
+        out = np.repeat(self.floor[None, :], len(ids), 0)
+        n = np.where(ids < 0, 0, self.start[ids + 1] - self.start[ids])
+        row = np.repeat(np.arange(len(ids)), n)
+        at = np.repeat(self.start[ids] - (np.cumsum(n) - n), n) + np.arange(len(row))
+        out[row, self.column[at]] = self.value[at]
         return out
 
 
@@ -134,25 +137,30 @@ class Scorer:
         self.letters = 0
         self.rows = np.zeros((1024, len(self.languages) + 2), np.float32)  # the last two columns: words, and how many look known
 
-    def word(self, w: str) -> tuple[np.ndarray, float]:
-        """Log frequencies by language, by word, else by the longest known n-gram at each position; and whether the word
-        is known, or the share of positions with a long n-gram."""
-        i = self.words.at.get(w)
-        if i is not None:
-            return self.words.row(i), 1.0
-        padded, total, long = f" {w} ", np.zeros(len(self.languages), np.float64), 0
-        n = max(1, len(padded) - 1)
+    def pieces(self, w: str) -> tuple[list[int], float]:
+        """The longest known n-gram at each position of an unseen word (-1: none), and the share of long ones."""
+        padded, found, long = f" {w} ", [], 0
+        n = len(padded) - 1
         get = self.grams.at.get
         for p in range(n):
-            for size in range(min(LONGEST_GRAM, len(padded) - p), 0, -1):
+            for size in range(min(LONGEST_GRAM, n + 1 - p), 0, -1):
                 g = get(padded[p : p + size])
                 if g is not None:
-                    total += self.grams.row(g)
+                    found.append(g)
                     long += size >= LONG_GRAM
                     break
             else:
-                total += self.grams.floor
-        return (total / n).astype(np.float32), long / n
+                found.append(-1)
+        return found, long / n
+
+    def add(self, counts: Counts, rows: list[int], ids: list[int], weights: list[float]) -> None:
+        """Add the log frequencies of items, weighted, to rows; what belongs to a row stands together."""
+        step = max(1, (1 << 22) // max(1, len(self.languages)))
+        for k in range(0, len(rows), step):
+            at = np.array(rows[k : k + step])
+            part = counts.rows(np.array(ids[k : k + step])) * np.array(weights[k : k + step], np.float32)[:, None]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            self.rows[at[first], :-2] += np.add.reduceat(part, first, axis=0)
 
     def learn(self, tokens: set[str]) -> None:
         new = tokens - self.at.keys()
@@ -160,18 +168,35 @@ class Scorer:
         if new and (len(self.at) + len(new) > most or self.letters > CACHE_LETTERS):
             self.reset()
             new = tokens
+        known: tuple[list, list, list] = ([], [], [])
+        unseen: tuple[list, list, list] = ([], [], [])
+        need = len(self.at) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((max(need - len(self.rows), len(self.rows)), self.rows.shape[1]), np.float32)])
+        words = self.words.at.get
         for t in new:
             k = self.at[t] = len(self.at)
             self.letters += len(t)
-            if k >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            row = self.rows[k]
-            for w in _RUN.findall(t):
-                if any(map(str.isalpha, w)):
-                    scores, known = self.word(w)
-                    row[:-2] += scores
-                    row[-2] += 1
-                    row[-1] += known
+            n, looks = 0, 0.0
+            for w in (t,) if t.isalpha() else _RUN.findall(t):
+                if not w[0].isalpha() and not any(map(str.isalpha, w)):
+                    continue
+                i = words(w)
+                if i is not None:
+                    known[0].append(k)
+                    known[1].append(i)
+                    known[2].append(1.0)
+                    looks += 1
+                else:
+                    found, long = self.pieces(w)
+                    unseen[0].extend([k] * len(found))
+                    unseen[1].extend(found)
+                    unseen[2].extend([1 / len(found)] * len(found))
+                    looks += long
+                n += 1
+            self.rows[k, -2:] = n, looks
+        self.add(self.words, *known)
+        self.add(self.grams, *unseen)
 
     def score(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """Language, posterior (uniform prior, the weight of MOST_WEIGHT words at most) and fit of each text: how many of
