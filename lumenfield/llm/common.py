@@ -168,15 +168,15 @@ def components(edges: DataFrame) -> DataFrame:
         once = small.select("e.u", "e.v").where("u != v")
 
 
-def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stash(df: DataFrame, name: str, level: int = 3) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder: (the table reread, its path).  Smaller on disk than a checkpoint,
-    and discard() can free it as soon as what follows has been written."""
+    and discard() can free it as soon as what follows has been written.  level: of compression."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     old = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, old)
     return spark.read.schema(df.schema).parquet(path), path
