@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import voxel
+from ..scratch import written
+from . import components as connect
+from .order import dense_ordinal
 
 KEYS = ["vx", "vy", "vz"]
-#: Dense voxels up to which components are found on the driver.  Their number is at most 100 / threshold_percent
-#: (times two for rounding), whatever the number of rows.
+#: Dense voxels up to which components are found on the driver.  How many there may be follows from the threshold alone:
+#: 200 / percent at most, whatever the number of rows.
 DRIVER_VOXELS = 200_000
 
 
@@ -39,12 +40,12 @@ def dense_voxels(df: DataFrame, size: float, percent: float) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.floor(F.col("total") * percent / 100)).select(*KEYS, "n")
 
 
-def components(dense: DataFrame) -> DataFrame:
-    """(vx, vy, vz, n, component): component is the smallest voxel of its face-connected component, as text."""
-    rows = dense.limit(DRIVER_VOXELS + 1).collect()
-    if len(rows) > DRIVER_VOXELS:
-        return _spread_labels(dense)
-    cells = {(r.vx, r.vy, r.vz): r.n for r in rows}
+def components(dense: DataFrame, percent: float) -> DataFrame:
+    """(vx, vy, vz, n, component) of the dense voxels at a threshold of `percent`: component is the smallest voxel of its
+    face-connected component, as text."""
+    if not 200 <= DRIVER_VOXELS * percent:
+        return _joined(dense)
+    cells = {(r.vx, r.vy, r.vz): r.n for r in dense.collect()}  # 200 / percent at most
     label: dict[tuple[int, int, int], tuple[int, int, int]] = {}
     for start in sorted(cells):
         if start in label:
@@ -60,26 +61,15 @@ def components(dense: DataFrame) -> DataFrame:
     return dense.sparkSession.createDataFrame(out, "vx long, vy long, vz long, n long, component string")
 
 
-def _spread_labels(dense: DataFrame) -> DataFrame:
-    """The same by spreading the least label over faces until nothing changes, distributed."""
-    spark = dense.sparkSession
-    folder = f"{_shared(spark)}/voxels-{uuid.uuid4().hex}"
-    at = F.struct(*KEYS)
-    dense.select(*KEYS, "n", at.alias("label")).write.parquet(f"{folder}/0")
-    near = F.array(*(F.struct(*((F.col(k) + (d if k == axis else 0)).alias(k) for k in KEYS)) for axis in KEYS for d in (-1, 1)))
-    for k in range(1, 10_000):
-        cur = spark.read.parquet(f"{folder}/{k - 1}")
-        told = cur.select(F.explode(near).alias("c"), "label").groupBy("c.vx", "c.vy", "c.vz").agg(F.min("label").alias("told"))
-        cur.join(told, KEYS, "left").select(*KEYS, "n", F.least("label", "told").alias("label"), (F.col("told") < F.col("label")).alias("moved")).write.parquet(f"{folder}/{k}")
-        done = spark.read.parquet(f"{folder}/{k}")
-        if done.where("moved").isEmpty():
-            return done.select(*KEYS, "n", F.concat_ws(",", *(F.col(f"label.{c}").cast("string") for c in KEYS)).alias("component"))
-    raise RuntimeError("components did not settle")
-
-
-def _shared(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return where.rstrip("/") if where else "file:///tmp/checkpoints"
+def _joined(dense: DataFrame) -> DataFrame:
+    """The same for any number of voxels: numbered in order, linked over faces, joined by contraction."""
+    cells, path = written(dense_ordinal(dense.select(*KEYS, "n"), KEYS, "id"), "voxels")
+    ahead = F.array(*(F.struct(*((F.col(k) + int(k == axis)).alias(k) for k in KEYS)) for axis in KEYS))
+    asked = cells.select(F.col("id").alias("a"), F.explode(ahead).alias("c")).select("a", "c.*")
+    links = asked.join(cells.select(*KEYS, F.col("id").alias("b")), KEYS).select("a", "b")
+    roots = connect.components(links).withColumnRenamed("component", "root")
+    of = cells.select(F.col("id").alias("root"), F.concat_ws(",", *(F.col(k).cast("string") for k in KEYS)).alias("component"))
+    return cells.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(of, "root").select(*KEYS, "n", "component")
 
 
 def density_filter(df: DataFrame, size: float = 1.0, percent: float = 0.32, *, sensitivity: float | None = None, keep_multicluster: bool = False) -> DataFrame:
@@ -89,7 +79,7 @@ def density_filter(df: DataFrame, size: float = 1.0, percent: float = 0.32, *, s
         raise ValueError("the density filter needs a complete table")
     if sensitivity is not None:
         size, percent = sensitivity_parameters(sensitivity)
-    found = components(dense_voxels(df, size, percent))
+    found = components(dense_voxels(df, size, percent), percent)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("voxels"), F.min(F.struct(*KEYS)).alias("first"))
     top = sizes.agg(F.max("voxels").alias("most"))
     kept = sizes.crossJoin(F.broadcast(top))

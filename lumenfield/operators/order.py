@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, morton3, splat_importance
-from .density import _shared
+from ..scratch import delete, shared_dir, written
 
 CHUNK = 256
 
@@ -23,7 +23,7 @@ def dense_ordinal(df: DataFrame, keys: list[Column | str], name: str = "_ord", p
     if df.isStreaming:
         raise ValueError("an order needs a complete table")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{_shared(spark)}/order-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/order-{uuid.uuid4().hex}"
     columns = {f"__k{i}": (F.col(k) if isinstance(k, str) else k) for i, k in enumerate(keys)}
     ready = df.withColumns(columns)
     names = list(columns)
@@ -60,19 +60,28 @@ def morton_code(df: DataFrame, name: str = "code", by: list[str] | None = None)
     return wide.withColumn(name, morton3(*(ten_bits(F.col(c), F.col(f"__a{c}"), F.col(f"__b{c}")) for c in "xyz"))).drop(*(f"__{m}{c}" for c in "xyz" for m in "ab"))
 
 
-def morton_order(df: DataFrame, ties: list[str], most: int = CHUNK, levels: int = 8, name: str = "_ord") -> DataFrame:
-    """df with an ordinal along a Morton curve that is refined within runs of more than `most` equal codes."""
-    cur, keys = morton_code(df, "__m0"), ["__m0"]
-    for level in range(1, levels):
-        crowd = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), *(f(c).alias(f"__{m}{c}") for c in "xyz" for m, f in (("a", F.min), ("b", F.max))))
-        crowd = crowd.where((F.col("__c") > most) & ((F.col("__ax") < F.col("__bx")) | (F.col("__ay") < F.col("__by")) | (F.col("__az") < F.col("__bz")))).drop("__c")
+def morton_order(df: DataFrame, ties: list[str], most: int = CHUNK, name: str = "_ord") -> DataFrame:
+    """df with an ordinal along a Morton curve that is refined within runs of more than `most` equal codes, until each
+    such run lies at one point.
+
+    The boxes of crowded runs are written at each level, so that the next one reads them and df, not all before.
+    """
+    spark = df.sparkSession
+    cur, keys, boxes = morton_code(df, "__m0"), ["__m0"], []
+    ends = [f(c).alias(f"__{m}{c}") for c in "xyz" for m, f in (("a", F.min), ("b", F.max))]
+    wide = " or ".join(f"__a{c} < __b{c}" for c in "xyz")
+    while True:
+        crowd, path = written(cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"), *ends).where(f"__c > {most} and ({wide})").drop("__c"), "crowd")
+        boxes.append(path)
         if crowd.isEmpty():
             break
-        key = f"__m{level}"
+        key = f"__m{len(keys)}"
         code = morton3(*(ten_bits(F.col(c), F.col(f"__a{c}"), F.col(f"__b{c}")) for c in "xyz"))
         cur = cur.join(crowd, keys, "left").withColumn(key, F.when(F.col("__ax").isNotNull(), code).otherwise(F.lit(0).cast("long"))).drop(*(f"__{m}{c}" for c in "xyz" for m in "ab"))
         keys.append(key)
-    return dense_ordinal(cur, [*keys, *ties], name).drop(*keys)
+    out = dense_ordinal(cur, [*keys, *ties], name).drop(*keys)
+    delete(spark, *boxes)
+    return out
 
 
 def by_importance(df: DataFrame) -> Column:

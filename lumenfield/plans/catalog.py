@@ -229,7 +229,7 @@ def dense_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_COMPONENTS} SELECT l.vx, l.vy, l.vz, d.n, concat_ws(',', l.r[1], l.r[2], l.r[3]) AS component FROM label l JOIN dense d USING (vx, vy, vz)")
 def density_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.components(density.dense_voxels(_scaled(spark, sf_dir), 5.0, 0.1)).select("vx", "vy", "vz", "n", "component")
+    return density.components(density.dense_voxels(_scaled(spark, sf_dir), 5.0, 0.1), 0.1).select("vx", "vy", "vz", "n", "component")
 
 
 _KEPT = "SELECT {0} FROM v JOIN label USING (vx, vy, vz) WHERE r IN ({1})"
@@ -333,10 +333,20 @@ def morton_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(*KEYS, "code", "_ord", first.alias("starts"))
 
 
-@query()
 def morton_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order along a Morton curve refined in crowded cells; held against a recursive version in the tests."""
-    return order.morton_order(splats(spark, sf_dir).select(*_TIES), _TIES).select(*KEYS, "_ord")
+    """Order along a Morton curve refined in crowded cells, to the end; y in steps of 20, so that cells are crowded."""
+    coarse = splats(spark, sf_dir).select(*_TIES).withColumn("y", F.floor(F.col("y") / 20).cast("double"))
+    return order.morton_order(coarse, _TIES).select(*KEYS, "_ord")
+
+
+def _refined_sql() -> str:
+    from .scenes import refined_sql
+
+    rows = f"r AS (SELECT * REPLACE (floor(y/20) AS y), row_number() OVER (ORDER BY {', '.join(KEYS)}) AS id FROM splat)"
+    return f"{WITH.replace('WITH ', 'WITH RECURSIVE ', 1)}, {rows}, {refined_sql('r', 'id, x, y, z')} SELECT {', '.join(KEYS)}, row_number() OVER (ORDER BY path, {', '.join(_TIES)}) - 1 AS _ord FROM r JOIN path USING (id)"
+
+
+_QUERIES["morton_refined"] = morton_refined
 
 
 @query(f"{WITH}, c AS (SELECT CAST(floor(x/7) AS BIGINT) AS cx, CAST(floor(y/7) AS BIGINT) AS cy, CAST(floor(z/7) AS BIGINT) AS cz FROM splat) SELECT ((xor(xor(cx*73856093, cy*19349663), cz*83492791)) % 4096 + 4096) % 4096 AS cell, COUNT(*) AS n FROM c GROUP BY 1")
@@ -454,30 +464,13 @@ def scene_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.describe(splats(spark, sf_dir))
 
 
-# ---- files -------------------------------------------------------------------------------------------------
-def _roundtrip(form: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Write the splat view as a scene file and read it back."""
-        import uuid
-
-        from ..sources import read, write
-
-        path = f"{density._shared(spark)}/scene-{uuid.uuid4().hex}"
-        write(splats(spark, sf_dir).drop(*KEYS, "alpha"), path, form)
-        back = read(spark, path, form).df
-        return back.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 2).alias(f"mean_{c}") for c in "xyz"))
-
-    run.__name__ = f"codec_roundtrip_{form}"
-    return run
-
-
-for _form in ("3dgs", "cc", "compressed_ply", "splat", "ksplat", "spz", "sog", "parquet"):
-    _QUERIES[f"codec_roundtrip_{_form}"] = _roundtrip(_form)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from . import scenes
+
+    return _QUERIES | scenes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import scenes
+
+    return _SQL | {"morton_refined": _refined_sql()} | scenes.oracle_sql()

@@ -60,11 +60,14 @@ def nearest(v: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.searchsorted((book[1:] + book[:-1]) / 2, v, "right")
 
 
+def signed_log(v: np.ndarray) -> np.ndarray:
+    return np.sign(v) * np.log1p(np.abs(v))
+
+
 def encode_rows(c: Columns, mins: list[float], maxs: list[float], scales: list[float], colours: list[float]) -> list[bytes]:
     """RGBA bytes of rows in the five textures."""
     n = len(c["x"])
-    v = _stack(c, XYZ)
-    v = np.sign(v) * np.log1p(np.abs(v))
+    v = signed_log(_stack(c, XYZ))
     wide = np.array(maxs) - np.array(mins)
     u = np.clip(np.where(wide > 0, (v - mins) / np.where(wide > 0, wide, 1), 0) * 65535, 0, 65535).astype(np.uint16)
     full = lambda rgb, a: np.c_[rgb, np.full(n, 255) if a is None else a].astype(np.uint8).tobytes()

@@ -53,18 +53,21 @@ def test_intensity(i, k):
     assert neighbours.intensity_parameters(i)[0] == k
 
 
-def test_density(spark, monkeypatch):
+def test_density(spark):
     blob = [(x + 0.5, 0.5, 0.5) for x in range(10) for _ in range(50)] + [(x + 0.5, 20.5, 0.5) for x in range(4) for _ in range(50)] + [(100 + k * 5, 0, 0) for k in range(20)]
     df = make(spark, blob)
     assert density.density_filter(df, 1.0, 1.0).count() == 500
     assert density.density_filter(df, 1.0, 1.0, keep_multicluster=True).count() == 700
     edge = make(spark, [(0.5, 0.5, 0.5)] * 50 + [(1.5, 1.5, 0.5)] * 50)
-    assert density.components(density.dense_voxels(edge, 1.0, 1.0)).select("component").distinct().count() == 2
+    assert density.components(density.dense_voxels(edge, 1.0, 1.0), 1.0).select("component").distinct().count() == 2
     assert density.density_filter(edge, 1.0, 1.0).agg(F.max("x")).first()[0] == 0.5  # a tie goes to the smallest voxel
     assert density.density_filter(make(spark, []), 1.0, 1.0).count() == 0
-    whole = {tuple(r) for r in density.components(density.dense_voxels(df, 1.0, 0.1)).collect()}
-    monkeypatch.setattr(density, "DRIVER_VOXELS", 3)
-    assert {tuple(r) for r in density.components(density.dense_voxels(df, 1.0, 0.1)).collect()} == whole
+    snake = [(x + 0.5, y + 0.5, 0.5) for y in range(0, 40, 2) for x in range(40)] + [((39 if y % 4 == 1 else 0) + 0.5, y + 0.5, 0.5) for y in range(1, 39, 2)]
+    for cloud in (df, make(spark, snake)):
+        dense = density.dense_voxels(cloud, 1.0, 0.01)
+        whole = {tuple(r) for r in density.components(dense, 0.01).collect()}
+        assert {tuple(r) for r in density.components(dense, 1e-9).collect()} == whole
+    assert len({r[4] for r in whole}) == 1 and len(whole) == 819
 
 
 def test_sensitivity():
