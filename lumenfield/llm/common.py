@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: Arrow maps, shared scratch space, connected components."""
+"""Shared pieces of the training-data operators: Arrow maps and shared scratch space."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.components import components
+from ..scratch import delete as drop
+from ..scratch import shared_dir as named_dir
 
 #: Session setting: shuffle files go when the query that wrote them ends.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -17,22 +20,14 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = 512
 #: Estimated bytes for each core up to which spread() deals rows anew.
 SMALL_BYTES = 8 << 20
-#: Links that are contracted at a time.
-LINKS_AT_ONCE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Where the session names none, a local session (tests) gets one of
-    its own; a cluster without one is an error, for no machine's own folder will do there."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        where = "file:///tmp/checkpoints/" + uuid.uuid4().hex
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
+    """The folder that driver and executors share, also set for checkpoints."""
+    where = named_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -89,85 +84,6 @@ def raw_bytes(column: pa.Array) -> list[memoryview]:
     return out
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, root): every end of the links but the roots, with the smallest id that these links tie it to."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    low = np.arange(len(ids))
-    while True:
-        p, q = low[x], low[y]
-        apart = p != q
-        if not apart.any():
-            break
-        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
-        np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
-        while (low[low] != low).any():
-            low = low[low]
-    moved = low != np.arange(len(ids))
-    return ids[moved], ids[low[moved]]
-
-
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links to the stars that join the same ids, about LINKS_AT_ONCE at a time."""
-    held: list[np.ndarray] = []
-    n = 0
-
-    def flush() -> tuple[np.ndarray, np.ndarray]:
-        both = np.concatenate(held, axis=1)
-        held.clear()
-        return stars(both[0], both[1])
-
-    def rows(ids: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(ids), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(roots[k : k + (1 << 16)])], ["u", "v"])
-
-    for b in batches:
-        held.append(np.stack([c.to_numpy() for c in b.columns]))
-        n += b.num_rows
-        if n >= LINKS_AT_ONCE:
-            found = flush()
-            if 2 * len(found[0]) > LINKS_AT_ONCE:
-                yield from rows(*found)
-                n = 0
-            else:  # carried on, so that what comes next joins it
-                held.append(np.stack(found))
-                n = len(found[0])
-    if held:
-        yield from rows(*flush())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of `edges` (a, b: long) as (id, component), component the smallest id reached.
-
-    Links are first contracted where they lie: each partition keeps one link from each id to the smallest id that
-    it knows to be reached.  So after a shuffle an id has at most as many rows as there were partitions, whatever
-    its links, and a hub is no task's burden.  Then large-star and small-star steps alternate with contraction
-    until nothing changes.  Each round is written to the shared folder, and the round before it deleted.
-    Ids without a link are not returned.  Self-links and repeated links are harmless; null ends are dropped.
-    """
-    spark = edges.sparkSession
-    link = "u bigint, v bigint"
-    plain = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.col("a").cast("long"), F.col("b").cast("long"))
-    once = arrow_map(plain, _contract, link).distinct()
-    last, old = None, None
-    while True:
-        cur, path = stash(arrow_map(once, _contract, link).distinct(), "links")
-        if old:
-            drop(spark, old)
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or tuple(now) == last:
-            return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        last, old = tuple(now), path
-        # large star: every larger neighbour of u is tied to the smallest of u's neighbourhood
-        both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cur.select("u", "v").join(low.withColumnRenamed("u", "v").withColumnRenamed("m", "mv"), "v").select("u", F.col("mv").alias("v"))
-        # small star: u and its smaller neighbours are tied to the smallest of them
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        once = small.select("e.u", "e.v").where("u != v")
-
-
 def stash(df: DataFrame, name: str, level: int = 3) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder: (the table reread, its path).  Smaller on disk than a checkpoint,
     and discard() can free it as soon as what follows has been written.  level: of compression."""
@@ -182,13 +98,6 @@ def stash(df: DataFrame, name: str, level: int = 3) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of stash() that nothing reads any more."""
-    for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def discard(spark: SparkSession, *paths: str) -> None:
     """drop(), and let go of shuffle files."""
     drop(spark, *paths)
