@@ -38,6 +38,26 @@ def test_neighbours_equal_brute_force(spark, name):
     assert len(got) == len(points) and np.allclose([got[i] for i in range(len(points))], want)
 
 
+def test_neighbours_with_far_rows_and_dense_regions(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = [tuple(p) for p in rng.normal(size=(900, 3))] + [tuple(p) for p in rng.normal(size=(600, 3)) * 1e-4 + 3] + [(1e6, 0, 0), (1e6, 1, 0), (-3e9, 5, 5)] + [(7, 7, 7)] * 400
+    sizes = []
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    whole = neighbours.octree
+
+    def watched(places):
+        out = whole(places)
+        sizes.append(out[1].groupBy("cell").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(neighbours, "octree", watched)
+    got = {r.id: r.mean_distance for r in neighbours.knn_mean_distance(make(spark, points), 9).collect()}
+    want = list(neighbours.brute_force(frame(points), 9))
+    assert len(got) == len(points) and np.allclose([got[i] for i in range(len(points))], want, rtol=1e-9)
+    assert sizes == [max(sizes)] and sizes[0] <= 64
+
+
 def test_outliers(spark):
     assert neighbours.outlier_filter(make(spark, []), 5, 1.0).count() == 0
     assert neighbours.outlier_filter(make(spark, [(1, 2, 3)]), 5, 1.0).count() == 1
