@@ -82,7 +82,7 @@ def convert(spark: SparkSession, source: str, path: str, target: str, options: O
     options = options or Options()
     if target not in FORMATS:
         raise ValueError(f"no format {target}")
-    if not force and os.path.exists(path):
+    if not force and files.exists(path):
         raise FileExistsError(path)
     scene = read(spark, source, mode=mode)
     df = process(scene.df, options, target)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from ..functions import (
     unpack_10_11,
     unpack_2_10_10_10,
 )
-from ..operators import codebook, density, filters, neighbours, order, profile
+from ..operators import codebook, density, filters, neighbours, order, palette, profile
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 #: The body of the splat view in both engines.
@@ -423,11 +424,26 @@ def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"{WITH}, v AS ({' UNION ALL '.join(f'SELECT round({c}, 6) AS value FROM splat' for c in _SC)}), d AS (SELECT DISTINCT value FROM v) SELECT row_number() OVER (ORDER BY value) - 1 AS entry, value FROM d")
+def codebook_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A codebook of up to 256 values learned from the pooled scales, of which fewer differ: those."""
+    book = codebook.learn_codebook(splats(spark, sf_dir).select(*(F.round(c, 6).alias(c) for c in _SC)), _SC, 256)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(book)], "entry long, value double").select("entry", F.round("value", 6).alias("value"))
+
+
+@query(f"""{WITH}, o AS (SELECT s.*, row_number() OVER (ORDER BY {', '.join(_TIES)}) - 1 AS _ord, COUNT(*) OVER () AS n, z/100 AS l_discount, (f_dc_0+0.8)/20 AS l_tax FROM splat s),
+g AS (SELECT *, _ord // CAST(ceil(n / greatest(1, least(64, n // 1024))) AS BIGINT) AS segment, round(l_discount, 6) AS discount, round(l_tax, 6) AS tax FROM o),
+e AS (SELECT DISTINCT segment, discount, tax FROM g), l AS (SELECT *, row_number() OVER (ORDER BY segment, discount, tax) - 1 AS label FROM e)
+SELECT {', '.join(KEYS)}, segment, label, discount, tax FROM g JOIN l USING (segment, discount, tax)""")
 def palette_vq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A learned codebook of 16 values over the pooled scales."""
-    book = codebook.learn_codebook(splats(spark, sf_dir), _SC, 16)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(book)], "entry long, value double")
+    """Vectors quantised over runs of the x order: label of each row, and the entry that it stands for.  Fewer vectors
+    differ in a run than it may have entries, so that each is its own entry."""
+    rows = order.dense_ordinal(splats(spark, sf_dir).select(*_TIES), _TIES).select(*KEYS, "_ord", F.round(F.col("z") / 100, 6).alias("discount"), F.round((F.col("f_dc_0") + 0.8) / 20, 6).alias("tax"))
+    n = rows.count()
+    entries = palette.learn(rows, ["discount", "tax"], n, palette.size_for(n))
+    flat = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.concatenate(entries))], "label long, discount double, tax double")
+    told = palette.assign(rows.drop("x"), ["discount", "tax"], n, entries).withColumn("segment", palette.segment(n))
+    return told.select(*KEYS, "segment", "label").join(flat, "label").select(*KEYS, "segment", "label", F.round("discount", 6).alias("discount"), F.round("tax", 6).alias("tax"))
 
 
 # ---- sets and projections ----------------------------------------------------------------------------------

@@ -26,6 +26,12 @@ def length(path: str) -> int:
     return info.size
 
 
+def exists(path: str) -> bool:
+    """Whether a file or folder is there, in any file system that pyarrow knows."""
+    system, name = locate(path)
+    return system.get_file_info(name).type != fs.FileType.NotFound
+
+
 def store(path: str, pieces) -> None:
     system, name = locate(path)
     parent = name.rpartition("/")[0]

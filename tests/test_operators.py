@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfield import sqlfuncs
 from lumenfield.convert import Options
-from lumenfield.operators import codebook, density, filters, neighbours, order
+from lumenfield.operators import codebook, density, filters, neighbours, order, palette
 from lumenfield.streaming import process_stream, windowed_counts
 
 XYZ = "_ord long, x double, y double, z double"
@@ -164,6 +164,34 @@ def test_codebook_is_fitted_on_all_values(spark):
     assert codebook.learn_codebook(heavy, ["v"], 2)[0] < 0.01
 
 
+def test_palettes(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(5000, 3))
+    df = spark.createDataFrame(pd.DataFrame({"_ord": range(5000), **{f"c{i}": v[:, i] for i in range(3)}}))
+    names, per = ["c0", "c1", "c2"], palette.segment_rows(5000)
+    entries = palette.learn(df, names, 5000, 256)
+    assert per == 1250 and [len(e) for e in entries] == [64] * 4
+    again = palette.learn(df.repartition(5), names, 5000, 256)
+    assert all((a == b).all() for a, b in zip(entries, again))
+    got = {r["_ord"]: r["label"] for r in palette.assign(df, names, 5000, entries).collect()}
+    for i in range(0, 5000, 7):
+        d = ((entries[i // per] - v[i]) ** 2).sum(1)
+        assert got[i] == 64 * (i // per) + d.argmin()
+    whole = np.concatenate(entries)
+    error = ((whole[[got[i] for i in range(5000)]] - v) ** 2).sum(1).mean()
+    assert error < 0.25 * (v**2).sum(1).mean()
+    few = palette.learn(df, names, 5000, 256, fit_rows=200)  # fitted on a sample: entries for all rows all the same
+    assert len(few) == 4 and palette.assign(df, names, 5000, few).where("label is null").count() == 0
+    same = palette.fit(np.repeat([[1.0, 2.0], [3.0, 4.0]], [60_000, 5], axis=0), 16)
+    assert same.tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert [palette.size_for(n) for n in (0, 5, 1000, 5000, 65_536, 10**8)] == [256, 256, 512, 4096, 65_536, 65_536] and palette.size_for(10**8, 5) == 16_384 and palette.size_for(10**8, 9) == 4096
+
+
+def test_frequent_values_do_not_fill_a_codebook(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") < 70_000, F.lit(0.5)).otherwise(F.col("id") % 2000).cast("double").alias("v"))
+    assert len(codebook.learn_codebook(df, ["v"], 256)) == 256
+
+
 def test_sql_functions(spark):
     sqlfuncs.register(spark)
     assert tuple(spark.sql("SELECT splat_sigmoid(0D), splat_pack_8888(1L, 2L, 3L, 4L), splat_fixed24(-1D), round(splat_signed_exp(splat_signed_log(-3D)), 9)").first()) == (0.5, 0x01020304, 0xFFF000, -3.0)
