@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut, raw_bytes, spread
+from .common import arrow_map, components, cut, drop, raw_bytes, spread, stash
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket above which it is split again by the bits that are still free.
@@ -105,8 +105,8 @@ def band_factors(bands: int, rows: int, seed: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, words: int, seed: int, lanes: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node long, fp array<long>, keys array<long>): name, SimHash and band keys of each text's shingle set;
-    null counts as empty."""
+    """(id, node long, size long, fp array<long>, keys array<long>): name, shingles, SimHash and band keys of each text's
+    shingle set; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = band_factors(bands, rows, seed)
@@ -114,9 +114,9 @@ def sketches(docs: DataFrame, *, words: int, seed: int, lanes: int, bands: int,
             sets = [shingle_set(bytes(raw), words, seed) for raw in raw_bytes(b.column(1))]
             fp = np.array([[fold(h if k == 0 else _mix(h, k)) for k in range(lanes)] for h in sets], np.uint64).reshape(-1, lanes)
             keys = np.array([band_keys(h, odd, bands, rows) for h in sets], np.uint64).reshape(-1, bands)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), _lists(fp), _lists(keys)], ["id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([set_name(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), _lists(fp), _lists(keys)], ["id", "node", "size", "fp", "keys"])
 
-    return arrow_map(spread(docs.select(id_col, text_col)), run, "id bigint, node bigint, fp array<bigint>, keys array<bigint>")
+    return arrow_map(spread(docs.select(id_col, text_col)), run, "id bigint, node bigint, size bigint, fp array<bigint>, keys array<bigint>")
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
@@ -346,6 +346,10 @@ def classes(docs: DataFrame, *, words: int = 3, seed: int = 42, radius: int = 2,
 LOOSE_LANES, LOOSE_BANDS, LOOSE_ROWS = 8, 24, 4
 
 
+#: Shingles that are compared in one task, and members of a large component that are asked first.
+TOGETHER, FIRST_ASKED = 1 << 21, 8
+
+
 def loose_radius(similarity: float, bits: int) -> int:
     """Differing bits that pairs of shingle sets of at least `similarity` keep within, but for one in ten million.
 
@@ -428,31 +432,152 @@ def _verified(words: int, seed: int, similarity: float):
     return run
 
 
+def _sets(words: int, seed: int):
+    """Rows (component, part, node, text) to (component, part, node, h): the shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(bytes(raw), words, seed) for raw in raw_bytes(b.column(3))]
+            # of an id that is not unique only the text that the node stands for
+            ok = [k for k, (h, node) in enumerate(zip(sets, b.column(2).to_pylist())) if len(h) and set_name(h) == node]
+            flat = np.concatenate([sets[k] for k in ok]) if ok else np.zeros(0, np.uint64)
+            ends = np.cumsum([0, *(len(sets[k]) for k in ok)]).astype(np.int32)
+            part = b.take(pa.array(ok, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["component", "part", "node", "h"])
+
+    return run
+
+
+def _rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, ends) of a list column."""
+    lists = pa.concat_arrays(column.chunks)
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    return lists.flatten().to_numpy(), ends
+
+
+def cross_links(h: np.ndarray, ends: np.ndarray, label: np.ndarray, q: np.ndarray, q_ends: np.ndarray, q_label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) for each query and each other label with a member similar to it: that with the lowest row."""
+    asked_for = Fraction(str(similarity))
+    num, den = asked_for.numerator, asked_for.denominator
+    size = np.diff(np.r_[0, ends])
+    order = np.argsort(size, kind="stable")
+    size, label = size[order], label[order]
+    starts = (ends - np.diff(np.r_[0, ends]))[order]
+    flat = h[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    names, flat = np.unique(flat, return_inverse=True)
+    tops = np.cumsum(size)
+    begins = tops - size
+    mark = np.zeros(len(names), bool)
+    left, right = [], []
+    for k, (a, b) in enumerate(zip(np.r_[0, q_ends[:-1]].tolist(), q_ends.tolist())):
+        n = b - a
+        lo, hi = int(np.searchsorted(size, -(-num * n // den))), int(np.searchsorted(size, den * n // num, "right"))
+        if lo >= hi:
+            continue
+        at = np.searchsorted(names, q[a:b])
+        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == q[a:b])]
+        mark[at] = True
+        both = np.add.reduceat(mark[flat[begins[lo] : tops[hi - 1]]], begins[lo:hi] - begins[lo], dtype=np.int64)
+        mark[at] = False
+        hit = np.flatnonzero((both * den >= num * (n + size[lo:hi] - both)) & (label[lo:hi] != q_label[k])) + lo
+        hit = hit[np.unique(label[hit], return_index=True)[1]]
+        left.append(np.full(len(hit), k))
+        right.append(order[hit])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _large_groups(texts: DataFrame, sizes: DataFrame, words: int, seed: int, similarity: float) -> tuple[DataFrame, list[str]]:
+    """(node, root) of the members of components too large for one task, over links of exact similarity; scratch paths.
+
+    Sets lie in parts of about TOGETHER shingles.  A few members of each component are asked first and meet every part; what
+    they join is one group.  Then members outside the largest group of their component are asked, as many as TOGETHER
+    shingles hold at a time, until none is left: then every pair that could still join two groups has been compared.
+    """
+    spark = texts.sparkSession
+    parts = sizes.select(F.col("component").alias("c"), F.ceil(F.col("total") / TOGETHER).alias("parts"), F.greatest(F.lit(FIRST_ASKED), F.floor(TOGETHER / (F.col("total") / F.col("n")))).cast("long").alias("most"))
+    placed = texts.join(parts, F.col("component") == F.col("c")).select("component", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", "text")
+    sets, sets_at = stash(arrow_map(placed, _sets(words, seed), "component bigint, part bigint, node bigint, h array<bigint>").dropDuplicates(["component", "node"]), "sets")
+    scratch, found, asked, rounds = [sets_at], None, None, 0
+
+    def compare(own: pa.Table, queries: pa.Table) -> pa.Table:
+        if not own.num_rows or not queries.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        (h, ends), (q, q_ends) = _rows_of(own.column("h")), _rows_of(queries.column("qh"))
+        x, y = cross_links(h, ends, own.column("label").to_numpy(), q, q_ends, queries.column("qlabel").to_numpy(), similarity)
+        return pa.table({"a": queries.column("q").to_numpy()[x], "b": own.column("node").to_numpy()[y]})
+
+    while True:
+        told = sets.select("component", "node")
+        if found is None:
+            told = told.withColumn("label", F.col("node"))
+        else:
+            told = told.join(components(found).withColumnRenamed("component", "r"), F.col("node") == F.col("id"), "left").select("component", "node", F.coalesce("r", "node").alias("label"))
+        told, told_at = stash(told, "labels")
+        scratch.append(told_at)
+        count = told.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+        top = count.groupBy(F.col("component").alias("c")).agg(F.max(F.struct("n", "label")).alias("top")).select("c", F.col("top.label").alias("top"))
+        left = told.join(top, F.col("component") == F.col("c")).where(F.col("label") != F.col("top")).select("component", "node", "label")
+        if asked is not None:
+            left = left.join(asked, "node", "left_anti")
+        one = left if rounds > 1 else left.groupBy("component", "label").agg(F.min("node").alias("node"))  # one of each group first
+        dealt = one.join(parts, F.col("component") == F.col("c"))
+        most = F.lit(FIRST_ASKED) if rounds == 0 else F.col("most")
+        picked = dealt.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(rounds)), most)).groupBy("component", "slot").agg(F.min(F.struct("node", "label")).alias("q"))
+        queries, queries_at = stash(picked.select(F.col("component").alias("qc"), F.col("q.node").alias("q"), F.col("q.label").alias("qlabel")), "asked")
+        scratch.append(queries_at)
+        if queries.isEmpty():
+            return told.select("node", F.col("label").alias("root")), scratch
+        new = queries.select(F.col("q").alias("node"))
+        asked = new if asked is None else asked.unionByName(new)
+        full = queries.join(sets.select(F.col("node").alias("m"), F.col("h").alias("qh")), F.col("q") == F.col("m")).join(parts, F.col("qc") == F.col("c"))
+        full = full.withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("qc", "qpart", "q", "qlabel", "qh")
+        own = sets.join(told.select(F.col("node").alias("m"), "label"), F.col("node") == F.col("m")).select("component", "part", "node", "label", "h")
+        links = own.groupBy("component", "part").cogroup(full.groupBy("qc", "qpart")).applyInArrow(compare, "a bigint, b bigint")
+        links, links_at = stash(links, "pairs")
+        scratch.append(links_at)
+        found = links if found is None else found.unionByName(links)
+        rounds += 1
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): documents linked where the Jaccard similarity of their sets of shingles is as asked or more.
 
     Documents meet in buckets by minima of their shingles' hashes; SimHashes within a radius clearly wider than
-    asked for make them candidates.  The texts of each component of candidates come together and their sets are
-    compared exactly.  Texts without words (null ones too) are alike; equal sets are one node.
+    asked for make them candidates.  The sets of each component of candidates are compared exactly: in one task where
+    they hold TOGETHER shingles at most, in parts over many tasks else; both give the same groups.  Texts without
+    words (null ones too) are alike; equal sets are one node; rows with a null id have no component; repeated rows
+    share theirs; an empty table gives an empty result; further columns are not read.
     """
-    prints = cut(sketches(docs, words=words, seed=seed, lanes=LOOSE_LANES, bands=LOOSE_BANDS, rows=LOOSE_ROWS, id_col=id_col, text_col=text_col))
-    nodes = cut(prints.where("id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    spark = docs.sparkSession
+    prints, prints_at = stash(sketches(docs, words=words, seed=seed, lanes=LOOSE_LANES, bands=LOOSE_BANDS, rows=LOOSE_ROWS, id_col=id_col, text_col=text_col), "sketches")
+    nodes, nodes_at = stash(prints.where("id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
     loose = components(near_links(nodes.select("node", "fp", "keys"), loose_radius(similarity, 64 * LOOSE_LANES), LOOSE_LANES))
     members = loose.select(F.col("id").alias("node"), "component").union(loose.select(F.col("component").alias("node"), "component").distinct())
-    asked = nodes.select("node", "rep").join(members, "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(asked, "rep").select("component", "node", "text")
-    met = texts.repartition("component").sortWithinPartitions("component", "node")
-    found = cut(arrow_map(met, _verified(words, seed, similarity), "node bigint, root bigint"))
+    asked, asked_at = stash(nodes.select("node", "rep", "size").join(members, "node"), "members")
+    large, large_at = stash(asked.groupBy("component").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).where(F.col("total") > TOGETHER), "large")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    small = texts.join(asked.join(large, "component", "left_anti"), "rep").select("component", "node", "text")
+    met = small.repartition("component").sortWithinPartitions("component", "node")
+    found = arrow_map(met, _verified(words, seed, similarity), "node bigint, root bigint")
+    scratch: list[str] = []
+    if not large.isEmpty():
+        roots, scratch = _large_groups(texts.join(asked.join(large.select("component"), "component"), "rep").select("component", "node", "text"), large, words, seed, similarity)
+        found = found.unionByName(roots)
+    found, found_at = stash(found, "groups")
     roots = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = cut(roots.join(least, "root").select("node", "component_id"))
-    return prints.select("id", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = roots.join(least, "root").select("node", "component_id")
+    out = prints.select("id", "node").join(labels, "node", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out, _ = stash(out, "near")
+    drop(spark, prints_at, nodes_at, asked_at, large_at, found_at, *scratch)
+    return out
 
 
 def representatives(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that stand for their group of near-duplicates: its smallest id.
 
-    Of repeated rows (equal id and text) one stays; rows with a null id stay.
+    Of repeated rows (equal id and text) one stays; rows with a null id stay, all of them; columns may have any names;
+    an empty table leaves none.
     """
     found = near_duplicates(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()

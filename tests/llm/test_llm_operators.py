@@ -215,8 +215,14 @@ def near_rows():
     return [(100 + k, " ".join(t)) for k, t in enumerate(texts)] + [(7, None)]
 
 
-def test_near_duplicates_are_those_of_exact_similarity(spark):
+@pytest.mark.parametrize("together", [1 << 21, 300])
+def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)  # the small one: components in several parts
     rows = near_rows()
+    if together == 300:  # many texts that share more than half with each other, some of them 0.8
+        rng = random.Random(9)
+        base = [f"b{k}" for k in range(60)]
+        rows += [(1000 + k, " ".join([*base, *(f"x{rng.randrange(12)}" for _ in range(rng.choice([2, 8, 14, 20])))])) for k in range(60)]
     want = brute_near(rows)
     assert 20 < sum(i != c for i, c in want) < len(rows) - 20
     assert sorted(map(tuple, simhash.near_duplicates(docs(spark, rows)).collect())) == want
