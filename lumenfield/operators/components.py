@@ -13,6 +13,8 @@ from ..scratch import delete, written
 
 #: Links that are contracted at a time.
 LINKS_AT_ONCE = 1 << 20
+#: Ids that are sent to all links at most, and links that such an id has at least.
+HUBS, LEAST_HUB = 1024, 64
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,20 +77,24 @@ def components(edges: DataFrame) -> DataFrame:
     link = "u bigint, v bigint"
     plain = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.col("a").cast("long"), F.col("b").cast("long"))
     once = plain.mapInArrow(_contract, link).distinct()
-    last, old = None, None
+    last, old = None, []
     while True:
         cur, path = written(once.mapInArrow(_contract, link).distinct(), "links")
-        if old:
-            delete(spark, old)
+        delete(spark, *old)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now[0] == 0 or tuple(now) == last:
             return cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        last, old = tuple(now), path
+        last = tuple(now)
         # large star: every larger neighbour of u is tied to the smallest of u's neighbourhood
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cur.select("u", "v").join(low.withColumnRenamed("u", "v").withColumnRenamed("m", "mv"), "v").select("u", F.col("mv").alias("v"))
+        low, low_at = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("deg")), "low")
+        # ids with more than 1 / HUBS of all ends, fewer than HUBS of them, go to the links; the others meet theirs by a join
+        many = max(LEAST_HUB, 2 * now[0] // HUBS)
+        hubs = low.where(F.col("deg") > many).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+        told = cur.join(F.broadcast(hubs), F.col("v") == F.col("h"), "left")
+        rest = told.where("hm is null").select("u", "v").join(low.where(F.col("deg") <= many).select(F.col("u").alias("l"), "m"), F.col("v") == F.col("l")).select("u", F.col("m").alias("v"))
+        large = told.where("hm is not null").select("u", F.col("hm").alias("v")).unionByName(rest)
         # small star: u and its smaller neighbours are tied to the smallest of them
         own = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(own, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        once = small.select("e.u", "e.v").where("u != v")
+        once, old = small.select("e.u", "e.v").where("u != v"), [path, low_at]
