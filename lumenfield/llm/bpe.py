@@ -15,13 +15,17 @@ from itertools import accumulate, chain
 import numpy as np
 import regex
 
+from .common import resident
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same cut for texts without the characters of _ODD, by the faster library.
 _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ‐-‧€]")
 _NONE = np.int64(1) << 60
-#: Words kept by a worker before its cache starts anew: a bound on memory, no effect on results.
-CACHE_WORDS = 250_000
+#: About how many bytes of words and tokens a worker keeps before they age: a bound on memory, no effect on results.
+CACHE_BYTES = 40 << 20
+#: Bytes that an entry takes besides its letters (a cached word with a few tokens), and for each token or prefix count.
+_ENTRY, _TOKEN = 180, 16
 
 
 def _byte_letters() -> dict[str, int]:
@@ -361,9 +365,6 @@ def _hash_bytes(b: bytes) -> int:
     return h
 
 
-_loaded: dict[str, "Codec"] = {}
-
-
 class Codec:
     """A vocabulary with this process's bounded caches of words."""
 
@@ -373,12 +374,11 @@ class Codec:
         self.ids_old: dict[str, tuple[int, ...]] = {}
         self.prefix: dict[str, bytes | list[int]] = {}
         self.prefix_old: dict[str, bytes | list[int]] = {}
+        self.held = {"ids": 0, "prefix": 0}  # bytes of the young words of each cache, about
 
     @classmethod
     def of(cls, path: str) -> "Codec":
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+        return resident(path, lambda: cls(path))
 
     def _cut(self, texts: list[str]) -> list[list[tuple[list[str], int | None]]]:
         """For each text its runs: (words, None), or ([special], id)."""
@@ -389,9 +389,9 @@ class Codec:
         """Token ids of each text, as encode(text, add_special_tokens=False) gives them."""
         runs = self._cut(texts)
         words = set().union(*(words for t in runs for words, s in t if s is None))
-        new = self._missing(words, self.ids, self.ids_old)
+        new = self._missing(words, "ids")
         if new:
-            self.ids.update(zip(new, self.v.encode_words([w.encode() for w in new])))
+            self._keep("ids", new, self.v.encode_words([w.encode() for w in new]))
         get = self.ids.__getitem__
         return [[i for words, s in t for i in ([s] if s is not None else chain.from_iterable(map(get, words)))] for t in runs]
 
@@ -399,23 +399,29 @@ class Codec:
         """The text of ids, special tokens included; broken UTF-8 becomes U+FFFD."""
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def _missing(self, words: set[str], young: dict, old: dict) -> list[str]:
+    def _keep(self, cache: str, words: list[str], values: list) -> None:
+        getattr(self, cache).update(zip(words, values))
+        self.held[cache] += sum(map(len, words)) + _ENTRY * len(words) + _TOKEN * sum(map(len, values))
+
+    def _missing(self, words: set[str], cache: str) -> list[str]:
         """Words of neither generation; those of the old one move to the young one, which ages when full."""
-        if len(young) > CACHE_WORDS:
+        young, old = getattr(self, cache), getattr(self, f"{cache}_old")
+        if self.held[cache] > CACHE_BYTES:
             old.clear()
             old.update(young)
             young.clear()
+            self.held[cache] = 0
         new = words - young.keys()
         if old and new:
-            kept = new & old.keys()
-            young.update((w, old[w]) for w in kept)
-            new -= kept
+            kept = list(new & old.keys())
+            self._keep(cache, kept, [old[w] for w in kept])
+            new.difference_update(kept)
         return list(new)
 
     def _prefix_words(self, words: set[str]) -> None:
-        new = self._missing(words, self.prefix, self.prefix_old)
+        new = self._missing(words, "prefix")
         if new:
-            self.prefix.update(zip(new, self.v.prefix_counts([w.encode() for w in new])))
+            self._keep("prefix", new, self.v.prefix_counts([w.encode() for w in new]))
 
     def tables(self, texts: list[str]) -> list["PrefixTable"]:
         runs = self._cut(texts)

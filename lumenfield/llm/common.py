@@ -19,7 +19,7 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows in one Arrow batch handed to a Python worker.  Bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 #: Estimated bytes for each core up to which spread() deals rows anew.
-SMALL_BYTES = 8 << 20
+SMALL_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +64,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores * 2) if size <= SMALL_BYTES * cores else df
 
 
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]) -> object:
+    """The one large thing (a model, a vocabulary with its caches) that a worker process holds: what key names, made if
+    another one was held, which goes.  Workers are used again for other stages, whose memory this would take."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, spread, stash, texts_of
+from .common import arrow_map, resident, spread, stash, texts_of
 from .tokens import gather
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -28,7 +28,7 @@ UNSEEN = 0.1
 #: Words that a text's score weighs at most, so that long texts do not all end at 1.
 MOST_WEIGHT = 50
 #: Bytes of scores, and letters of tokens, that a worker keeps before it starts anew.
-CACHE_BYTES, CACHE_LETTERS = 16 << 20, 8 << 20
+CACHE_BYTES, CACHE_LETTERS = 16 << 20, 2 << 20
 _COUNTED = "lang string, item string, n bigint"
 
 
@@ -218,17 +218,6 @@ class Scorer:
         return out
 
 
-#: The model that this process read last.
-_read: dict[str, Scorer] = {}
-
-
-def scorer(folder: str) -> Scorer:
-    if folder not in _read:
-        _read.clear()
-        _read[folder] = Scorer(folder)
-    return _read[folder]
-
-
 def predict(docs: DataFrame, folder: str, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred, score and fit of each whole text, by the model in fit()'s folder.
 
@@ -241,7 +230,7 @@ def predict(docs: DataFrame, folder: str, *, keep: list[str], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gather(batches):
-            got = scorer(folder).score(texts_of(table.column(table.num_columns - 1)))
+            got = resident(folder, lambda: Scorer(folder)).score(texts_of(table.column(table.num_columns - 1)))
             columns = [c.combine_chunks() for c in table.columns[:-1]]
             columns = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in columns]
             columns += [pa.array([x for x, *_ in got], pa.string()), pa.array([x for _, x, _ in got], pa.float64()), pa.array([x for *_, x in got], pa.float64())]
