@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,11 +73,22 @@ def resident(key: str, make: Callable[[], object]) -> object:
     another one was held, which goes.  Workers are used again for other stages, whose memory this would take."""
     if key not in _resident:
         _resident.clear()
-        gc.collect()
+        give_back()
         _resident[key] = make()
+        give_back()  # what making it took
     return _resident[key]
 
 
+def give_back() -> None:
+    """Hand freed memory of this process back to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """A string column as Python strings, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

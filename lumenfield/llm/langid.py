@@ -229,7 +229,7 @@ def predict(docs: DataFrame, folder: str, *, keep: list[str], text_col: str = "t
     fields = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in plain.schema.fields[:-1]) + ",lang_pred:string,score:double,fit:double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gather(batches):
+        for table in gather(batches, 1 << 20):
             got = resident(folder, lambda: Scorer(folder)).score(texts_of(table.column(table.num_columns - 1)))
             columns = [c.combine_chunks() for c in table.columns[:-1]]
             columns = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in columns]
