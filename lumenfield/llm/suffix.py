@@ -5,7 +5,7 @@ at both.  A suffix array of all texts would not fit one machine; suffixes are de
 hash of a KGRAM-byte string within their first SPAN bytes (equal suffixes hold the same one), and neighbours
 with the same anchor travel together as one segment.  Only anchors that two different texts share go on.
 Within a task the suffixes of an anchor are sorted: multikey quicksort to a shallow depth, run on all groups in
-step, then blind tries for the groups whose members still agree.  The suffixes of an anchor with many segments are
+step and deeper on large ones, then blind tries for the groups whose members still agree.  The suffixes of an anchor with many segments are
 dealt to tasks by ranges of their own bytes first; equal ones that a border parts are brought together by it.
 """
 
@@ -32,6 +32,8 @@ _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 SPLIT_ABOVE = 512
 #: Suffixes that are sorted at a time, at most (a group may exceed it: SPLIT_ABOVE * WIDE at most), and in a range, about.
 SORT_AT_ONCE, RANGE = 1 << 20, 1 << 18
+#: Members of a group up to which a blind trie orders it; larger ones are partitioned by further characters.
+TRIE = 64
 
 
 def _hashes(buf: np.ndarray) -> np.ndarray:
@@ -232,10 +234,20 @@ def sort_suffixes(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> tupl
     start_of = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     move, groups = _multikey(head, np.repeat(start_of, np.diff(np.r_[start_of, len(own)])))  # shallow
     order = order[move]
+    for k in range(1, -(-SPAN // 8)):  # one character deeper where many members still agree
+        first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        size = np.diff(np.r_[first, len(groups)])
+        slot = np.flatnonzero(np.repeat(size > TRIE, size))
+        if not len(slot):
+            break
+        wide = size[size > TRIE]
+        move, part = _multikey(_words_at(buf, start[order[slot]])[:, k], np.repeat(np.cumsum(wide) - wide, wide))
+        order[slot], groups[slot] = order[slot][move], slot[part]
+    cls = groups.copy()  # of groups that were compared to the end
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     size = np.diff(np.r_[first, len(groups)])
-    first, size = first[size > 1], size[size > 1]
-    cls = np.arange(len(order))
+    open_ = (size > 1) & (size <= TRIE)
+    first, size = first[open_], size[open_]
     if not len(size):
         return order, cls
     # deep: groups by size, so that those that still have a member to insert stand in front
