@@ -15,6 +15,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -496,22 +497,30 @@ def _large_groups(texts: DataFrame, sizes: DataFrame, words: int, seed: int, sim
     spark = texts.sparkSession
     parts = sizes.select(F.col("component").alias("c"), F.ceil(F.col("total") / TOGETHER).alias("parts"), F.greatest(F.lit(FIRST_ASKED), F.floor(TOGETHER / (F.col("total") / F.col("n")))).cast("long").alias("most"))
     placed = texts.join(parts, F.col("component") == F.col("c")).select("component", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", "text")
-    sets, sets_at = stash(arrow_map(placed, _sets(words, seed), "component bigint, part bigint, node bigint, h array<bigint>").dropDuplicates(["component", "node"]), "sets")
-    scratch, found, asked, rounds = [sets_at], None, None, 0
-
-    def compare(own: pa.Table, queries: pa.Table) -> pa.Table:
+    sets, sets_at = stash(arrow_map(placed, _sets(words, seed), "component bigint, part bigint, node bigint, h array<bigint>"), "sets")
+    members, members_at = stash(sets.select("component", "part", "node").distinct(), "parts")
+    scratch, found, asked, rounds = [sets_at, members_at], None, None, 0
+
+    def compare(own: pa.Table, more: pa.Table) -> pa.Table:
+        """Sets of a part against the queries among the rows that came with it; the others are the labels of its nodes."""
+        label = more.filter(pa.compute.is_null(more.column("qh")))
+        queries = more.filter(pa.compute.is_valid(more.column("qh")))
         if not own.num_rows or not queries.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        node = own.column("node").to_numpy()
+        named = label.column("q").to_numpy()
+        by = np.argsort(named, kind="stable")
+        own_label = label.column("qlabel").to_numpy()[by[np.searchsorted(named[by], node)]]
         (h, ends), (q, q_ends) = _rows_of(own.column("h")), _rows_of(queries.column("qh"))
-        x, y = cross_links(h, ends, own.column("label").to_numpy(), q, q_ends, queries.column("qlabel").to_numpy(), similarity)
-        return pa.table({"a": queries.column("q").to_numpy()[x], "b": own.column("node").to_numpy()[y]})
+        x, y = cross_links(h, ends, own_label, q, q_ends, queries.column("qlabel").to_numpy(), similarity)
+        return pa.table({"a": queries.column("q").to_numpy()[x], "b": node[y]})
 
     while True:
-        told = sets.select("component", "node")
+        told = members
         if found is None:
             told = told.withColumn("label", F.col("node"))
         else:
-            told = told.join(components(found).withColumnRenamed("component", "r"), F.col("node") == F.col("id"), "left").select("component", "node", F.coalesce("r", "node").alias("label"))
+            told = told.join(components(found).withColumnRenamed("component", "r"), F.col("node") == F.col("id"), "left").select("component", "part", "node", F.coalesce("r", "node").alias("label"))
         told, told_at = stash(told, "labels")
         scratch.append(told_at)
         count = told.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -531,8 +540,8 @@ def _large_groups(texts: DataFrame, sizes: DataFrame, words: int, seed: int, sim
         asked = new if asked is None else asked.unionByName(new)
         full = queries.join(sets.select(F.col("node").alias("m"), F.col("h").alias("qh")), F.col("q") == F.col("m")).join(parts, F.col("qc") == F.col("c"))
         full = full.withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("qc", "qpart", "q", "qlabel", "qh")
-        own = sets.join(told.select(F.col("node").alias("m"), "label"), F.col("node") == F.col("m")).select("component", "part", "node", "label", "h")
-        links = own.groupBy("component", "part").cogroup(full.groupBy("qc", "qpart")).applyInArrow(compare, "a bigint, b bigint")
+        full = full.unionByName(told.select(F.col("component").alias("qc"), F.col("part").alias("qpart"), F.col("node").alias("q"), F.col("label").alias("qlabel"), F.lit(None).cast("array<bigint>").alias("qh")))
+        links = sets.groupBy("component", "part").cogroup(full.groupBy("qc", "qpart")).applyInArrow(compare, "a bigint, b bigint")
         links, links_at = stash(links, "pairs")
         scratch.append(links_at)
         found = links if found is None else found.unionByName(links)
