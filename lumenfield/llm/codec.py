@@ -16,7 +16,8 @@ from .tokens import gather, groups
 def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, exact): the token ids of each whole text, and whether decoding them gives it back.
 
-    A null or empty text has no ids and is exact; repeated rows give repeated results.
+    A null or empty text has no ids and is exact; texts may have any length; repeated rows give repeated results, an
+    empty table an empty one; further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

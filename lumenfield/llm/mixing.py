@@ -119,7 +119,9 @@ def seeded_place(*cols: str) -> Column:
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows: each row of docs, with its columns, as often as the words that the mix takes of it make
-    up whole texts, rounded (0 to 3 times).  Rows with equal id and size are taken alike: the most of any."""
+    up whole texts, rounded (0 to 3 times).  Rows with equal id and size are taken alike: the most of any.  Null texts and
+    texts without words hold nothing to take and go; a null id or source is as any other; an empty table gives an
+    empty one; columns may have any names."""
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
     size, taken = F.col("size"), F.col("taken")
     times = F.when(size > 0, F.floor((2 * taken + size) / (2 * size))).otherwise(F.lit(0))
