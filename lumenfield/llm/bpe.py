@@ -241,14 +241,19 @@ class Vocabulary:
 
     # ---- prefix counts -------------------------------------------------------------------------
     def _candidates(self) -> _Table:
-        """The tokens that encode to themselves by the hash of their bytes."""
+        """The tokens that encode to themselves by the hash of their bytes; what it finds is compared with `spelt`."""
         if not hasattr(self, "_cand"):
             ids = list(self.id_of.values())
             own = self.encode_words([self.bytes_of[i] for i in ids])
             ids = np.array([i for i, o in zip(ids, own) if o == (i,)], np.int64)
             self.whole = frozenset(ids.tolist())
-            h = np.array([_hash_bytes(self.bytes_of[i]) for i in ids], np.uint64)
-            self._cand = _Table((h & np.uint64(0x7FFFFFFFFFFFFFFF)).astype(np.int64), ids)
+            h = np.array([_hash_bytes(self.bytes_of[i]) for i in ids], np.uint64) & np.uint64(0x7FFFFFFFFFFFFFFF)
+            self.apart = len(np.unique(h)) == len(h)  # else one token would hide another
+            self.size_of = np.array([len(b) for b in self.bytes_of])
+            self.spelt = np.zeros((len(self.bytes_of), 64), np.uint8)
+            for i in ids[self.size_of[ids] <= 64].tolist():
+                self.spelt[i, : self.size_of[i]] = np.frombuffer(self.bytes_of[i], np.uint8)
+            self._cand = _Table(h.astype(np.int64), ids)
         return self._cand
 
     def _joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -286,8 +291,9 @@ class Vocabulary:
         """
         out: list[bytes | list[int]] = [b""] * len(words)
         classes: dict[int, list[int]] = {}
+        self._candidates()
         for i, w in enumerate(words):
-            if len(w) > 64:
+            if len(w) > 64 or not self.apart:
                 out[i] = self._prefix_long(w)
             elif len(w):
                 classes.setdefault(8 if len(w) <= 8 else 16 if len(w) <= 16 else 64, []).append(i)
@@ -320,6 +326,8 @@ class Vocabulary:
                 h = pre[todo, i] - pre[todo, i - size] * _POWERS[size]
                 got = known.get((h & np.uint64(0x7FFFFFFFFFFFFFFF)).astype(np.int64))
                 hit = np.flatnonzero(got >= 0)
+                hit = hit[self.size_of[got[hit]] == size]
+                hit = hit[(raw[todo[hit], i - size : i] == self.spelt[got[hit], :size]).all(1)]
                 if len(hit):
                     rows.append(todo[hit])
                     toks.append(got[hit])
