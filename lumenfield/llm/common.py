@@ -17,8 +17,8 @@ from ..scratch import shared_dir as named_dir
 
 #: Session setting: shuffle files go when the query that wrote them ends.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows in one Arrow batch handed to a Python worker.  Bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes, about, in one Arrow batch handed to a Python worker: a bound on its memory (one row may be larger).
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Estimated bytes for each core up to which spread() deals rows anew.
 SMALL_BYTES = 4 << 20
 
@@ -44,16 +44,18 @@ def release(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of BATCH_ROWS rows at most.
+    """mapInArrow with batches of BATCH_ROWS rows and BATCH_BYTES bytes at most.
 
-    Spark reads the batch size from the session when a plan is run, which for a frame that is handed back is later, so the
-    setting is lowered for the session and stays so; a lower one of the caller's is kept.
+    Spark reads these sizes from the session when a plan is run, which for a frame that is handed back is later, so the
+    settings are lowered for the session and stay so; lower ones of the caller's are kept.
     """
     spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, "10000")
-    if not 0 < int(old) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    conf, size_of = spark.conf, spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for what, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{what}"
+        old = conf.get(key)
+        if old.startswith("-") or not 0 < size_of(old) <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
 
 

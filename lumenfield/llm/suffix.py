@@ -306,12 +306,11 @@ def _anchors(only_hash: bool):
         for b in batches:
             text, start, count, off, h = segments(raw_bytes(b.column(2)))
             if len(text):
-                digest = pa.array(b.column(1).to_numpy()[text])
-                anchor = pa.array(h.view(np.int64))
-                if only_hash:
-                    yield pa.RecordBatch.from_arrays([anchor, digest], ["anchor", "digest"])
-                else:
-                    yield pa.RecordBatch.from_arrays([anchor, pa.array(b.column(0).to_numpy()[text]), digest, pa.array((start << 12) | (count << 6) | off)], ["anchor", "id", "digest", "mark"])
+                columns = {"anchor": h.view(np.int64), "digest": b.column(1).to_numpy()[text]}
+                if not only_hash:
+                    columns = {"anchor": columns["anchor"], "id": b.column(0).to_numpy()[text], "digest": columns["digest"], "mark": (start << 12) | (count << 6) | off}
+                for k in range(0, len(text), 1 << 16):  # the JVM holds a batch outside its heap
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns.values()], list(columns))
 
     return run
 
