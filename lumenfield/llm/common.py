@@ -81,6 +81,13 @@ def resident(key: str, make: Callable[[], object]) -> object:
     return _resident[key]
 
 
+def vacate() -> None:
+    """Let go of what resident() holds: for maps that need none of it, in workers that a stage before has used."""
+    if _resident:
+        _resident.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Hand freed memory of this process back to the system, where its allocators can."""
     gc.collect()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, texts_of, vacate
 from .tokens import gather
 
 KINDS = ("assign", "access", "hex")
@@ -324,6 +324,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for table in gather(batches):
             counts, digests, spans = ([], [], []), [], []
             for text in texts_of(table.column(1)):
@@ -362,6 +363,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for b in batches:
             new = [redact_text(x, mask) for x in b.column(at).to_pylist()]
             columns = list(b.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, cut, drop, raw_bytes, spread, stash
+from .common import arrow_map, components, cut, drop, raw_bytes, spread, stash, vacate
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Members of a bucket above which it is split again by the bits that are still free.
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, lanes: int
     """(id, fp array<long>): a SimHash of 64 * lanes bits of each whole text; null counts as empty: zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for b in batches:
             found = (shingle_hashes(bytes(raw), words, seed) for raw in raw_bytes(b.column(1)))
             fp = np.array([[fold(h if k == 0 else _mix(h, k)) for k in range(lanes)] for h in found], np.uint64).reshape(-1, lanes)
@@ -110,6 +111,7 @@ def sketches(docs: DataFrame, *, words: int, seed: int, lanes: int, bands: int,
     shingle set; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         odd = band_factors(bands, rows, seed)
         for b in batches:
             sets = [shingle_set(bytes(raw), words, seed) for raw in raw_bytes(b.column(1))]
@@ -256,6 +258,7 @@ def _bucket_links(radius: int, widths: list[tuple[int, int]], lanes: int):
     """Streams rows (band, key, fp) sorted by band and key into links between fingerprints' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         rest: pa.Table | None = None
         fields = None
 
@@ -404,6 +407,7 @@ def _verified(words: int, seed: int, similarity: float):
     """Streams rows (component, node, text) sorted by component and node into (node, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         nodes: list[int] = []
         sets: list[np.ndarray] = []
         at = None
@@ -437,6 +441,7 @@ def _sets(words: int, seed: int):
     """Rows (component, part, node, text) to (component, part, node, h): the shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for b in batches:
             sets = [shingle_set(bytes(raw), words, seed) for raw in raw_bytes(b.column(3))]
             # of an id that is not unique only the text that the node stands for
