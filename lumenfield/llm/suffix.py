@@ -22,32 +22,40 @@ from pyspark.sql import functions as F
 from .common import arrow_map, discard, raw_bytes, release, stash
 from .tokens import gather
 
-SPAN, KGRAM = 50, 16
+#: KGRAM: a multiple of 8, long enough that texts which share nothing longer seldom share an anchor, however many they are.
+SPAN, KGRAM = 50, 24
 WIDE = SPAN - KGRAM + 1
 #: Bytes of text that are hashed at a time; anchors lie below this plus SPAN, in the low bits of a key.
 PIECE = 1 << 17
 _LOW = np.uint64((1 << 20) - 1)
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
-#: Segments of an anchor above which its suffixes are dealt by ranges before they are sorted.
-SPLIT_ABOVE = 512
-#: Suffixes that are sorted at a time, at most (a group may exceed it: SPLIT_ABOVE * WIDE at most), and in a range, about.
+#: Suffixes that are sorted at a time, about (the last anchor taken may exceed it by RANGE at most), and in a range.
 SORT_AT_ONCE, RANGE = 1 << 20, 1 << 18
+#: Segments of an anchor above which its suffixes are dealt by ranges before they are sorted: what fits a range stays whole,
+#: as a suffix on its own costs far more than one within its segment, and crowds grow faster than the input.
+SPLIT_ABOVE = RANGE // WIDE
 #: Members of a group up to which a blind trie orders it; larger ones are partitioned by further characters.
 TRIE = 64
 
 
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of rows of words, given column by column."""
+    x = words[0] * _C1
+    for w in words[1:]:
+        y = (w ^ _C3) * _C2
+        y ^= y >> np.uint64(31)
+        x += y
+        x ^= x >> np.uint64(32)
+        x *= _C3
+    x ^= x >> np.uint64(29)
+    return x
+
+
 def _hashes(buf: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each KGRAM-byte string."""
     m = len(buf) - KGRAM + 1
     words = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,)).copy()
-    x = words[:m] * _C1
-    y = (words[8 : 8 + m] ^ _C3) * _C2
-    y ^= y >> np.uint64(31)
-    x += y
-    x ^= x >> np.uint64(32)
-    x *= _C3
-    x ^= x >> np.uint64(29)
-    return x
+    return _mixed([words[k : k + m] for k in range(0, KGRAM, 8)])
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -346,15 +354,7 @@ def _hash_at(raw: bytes, at: np.ndarray) -> np.ndarray:
     """The anchor hash of the strings that start at `at`."""
     buf = np.frombuffer(raw, np.uint8)
     rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, KGRAM)[at])
-    w = rows.view("<u8").astype(np.uint64)
-    x = w[:, 0] * _C1
-    y = (w[:, 1] ^ _C3) * _C2
-    y ^= y >> np.uint64(31)
-    x += y
-    x ^= x >> np.uint64(32)
-    x *= _C3
-    x ^= x >> np.uint64(29)
-    return x
+    return _mixed(list(rows.view("<u8").astype(np.uint64).T))
 
 
 def _sorted_masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import string
 
 import numpy as np
 import pytest
@@ -125,3 +126,36 @@ def test_equal_suffixes_on_both_sides_of_borders(spark, monkeypatch):
     passage = "".join(rng.choices("abcdefgh ", k=120))
     rows = [(i, "".join(rng.choices("xyz", k=rng.randint(1, 40))) + passage[: rng.randint(60, 120)] + "".join(rng.choices("uvw", k=20)), None) for i in range(150)]
     assert found(spark.createDataFrame(rows, SCHEMA), split_above=3) == brute([r[:2] for r in rows])
+
+
+def stashed(monkeypatch):
+    """Rows of each table that repeats() writes, by name."""
+    rows, real = {}, suffix.stash
+
+    def spy(df, name, *a):
+        out = real(df, name, *a)
+        rows[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(suffix, "stash", spy)
+    return rows
+
+
+def test_anchors_that_fit_a_range_are_not_exploded(spark, monkeypatch):
+    """A passage in 700 surroundings: its suffixes need no rows of their own."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=90))
+    rows = [(i, "".join(rng.choices("xyz", k=40)) + passage + "".join(rng.choices("uvw", k=40)), None) for i in range(700)]
+    tables = stashed(monkeypatch)
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute([r[:2] for r in rows])
+    assert tables["each"] > 700 and "ranges" not in tables
+
+
+def test_short_common_phrases_make_no_segments(spark, monkeypatch):
+    """Texts that share phrases of 20 bytes only."""
+    rng = random.Random(9)
+    phrases = ["".join(rng.choices("abcdefgh ", k=20)) for _ in range(5)]
+    rows = [(i, "".join(rng.choice(phrases) + "".join(rng.choices(string.ascii_letters, k=30)) for _ in range(10)), None) for i in range(100)]
+    tables = stashed(monkeypatch)
+    assert found(spark.createDataFrame(rows, SCHEMA)) == brute([r[:2] for r in rows])
+    assert tables["segments"] == 0
