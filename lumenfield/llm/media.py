@@ -11,7 +11,7 @@ import hashlib
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 BLOCK_SAMPLES = (UNIT - 4) * 2 + 1
 #: Blocks that are decoded at a time.
 BLOCKS = 1 << 14
+#: Bytes of payloads taken at a time, about; their PCM is four times as large, and every copy of it counts.
+GATHER = 1 << 20
 
 
 def _mulaw_table() -> np.ndarray:
@@ -165,6 +167,28 @@ def read_wave(media: bytes) -> tuple[str, int, bytes]:
     raise ValueError("a WAVE file without data")
 
 
+def _means(even: np.ndarray, odds: int) -> np.ndarray:
+    """Means of neighbours, the last one its own: what doubling puts between samples."""
+    wide = np.append(even, even[-1:]).astype(np.int32)
+    return ((wide[:-1] + wide[1:]) >> 1)[:odds]
+
+
+def fold(pcm: np.ndarray) -> np.ndarray:
+    """PCM without loss as its samples at even places, then what those at odd places differ by (modulo 2 ** 16) from
+    the mean of their neighbours: nothing where PCM was doubled, so that it packs well."""
+    even, odd = pcm[::2], pcm[1::2]
+    return np.concatenate([even, (odd - _means(even, len(odd))).astype(np.int16)])
+
+
+def unfold(folded: np.ndarray) -> np.ndarray:
+    """The PCM that fold() was given."""
+    even, odd = np.split(folded, [len(folded) - len(folded) // 2])
+    out = np.empty(len(folded), np.int16)
+    out[::2] = even
+    out[1::2] = (odd + _means(even, len(odd))).astype(np.int16)
+    return out
+
+
 def features(pcm: np.ndarray) -> str:
     """Length, peak, root mean square, sign changes and checksum of PCM."""
     if not len(pcm):
@@ -178,18 +202,39 @@ def store(docs: DataFrame, *, codec: str = "mulaw", rate: int = PCM_RATE, id_col
     """(id, n_bytes, media binary, pcm binary): each payload (string or binary; null: empty), padded, as the samples
     of a WAVE file, and the 16-bit PCM that they expand to at `rate`, as another one.
 
-    The table is written to the shared folder, and the frame returned reads it.  Repeated rows give repeated
-    results, an empty table an empty one; further columns are not read.
+    The table is written to the shared folder, and the frame returned reads it.  PCM at twice the telephone rate lies
+    there folded, and is unfolded as it is read.  Repeated rows give repeated results, an empty table an empty one;
+    further columns are not read.
     """
+    stored = _store(docs, codec, rate, id_col, payload_col)
+    if not _folded(rate):
+        return stored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in gather(batches):
+        for b in batches:
+            pcm = [pcm_wave(unfold(np.frombuffer(read_wave(x)[2], "<i2")), rate) for x in b.column(3).to_pylist()]
+            yield b.set_column(3, "pcm", pa.array(pcm, pa.binary()))
+
+    return arrow_map(stored, run, f"{id_col} bigint, n_bytes bigint, media binary, pcm binary")
+
+
+def _folded(rate: int) -> bool:
+    return rate == 2 * RATE
+
+
+def _store(docs: DataFrame, codec: str, rate: int, id_col: str, payload_col: str) -> DataFrame:
+    """The table that store() writes, PCM as it lies there."""
+    schema = f"{id_col} bigint, n_bytes bigint, media binary, pcm binary"
+    kept = fold if _folded(rate) else np.asarray
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gather(batches, GATHER):
             raw = [x for chunk in t.column(1).chunks for x in raw_bytes(chunk)]
             samples = [padded(x) for x in raw]
-            pcm = [pcm_wave(resample(x, RATE, rate), rate) for x in expand_many(samples, codec)]
+            pcm = [pcm_wave(kept(resample(x, RATE, rate)), rate) for x in expand_many(samples, codec)]
             yield pa.RecordBatch.from_arrays([_flat(t.column(0)).cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array([wave(x, codec) for x in samples], pa.binary()), pa.array(pcm, pa.binary())], [id_col, "n_bytes", "media", "pcm"])
 
-    return stash(arrow_map(docs.select(id_col, payload_col), run, f"{id_col} bigint, n_bytes bigint, media binary, pcm binary"), "media", 6)[0]
+    return stash(arrow_map(docs.select(id_col, payload_col), run, schema), "media", 6)[0]
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -203,14 +248,19 @@ def measure(stored: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     feature: features() of the payload as mu-law, as A-law and as ADPCM samples, whichever it is stored as, and of the
     stored PCM.  Equal payloads give equal values.
     """
+    return _measure(stored, np.asarray, id_col)
+
+
+def _measure(stored: DataFrame, plain: Callable[[np.ndarray], np.ndarray], id_col: str) -> DataFrame:
+    """measure(); plain: makes PCM of the samples of the stored one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for t in gather(batches, 8 << 20):
+        for t in gather(batches, 4 * GATHER):
             media, pcm = t.column(2).to_pylist(), t.column(3).to_pylist()
             back = [read_wave(m)[2] for m in media]
             told = [[f"{name}:{features(x)}" for x in expand_many(back, name)] for name in FORMATS]
-            told.append([f"pcm:{features(np.frombuffer(read_wave(x)[2], '<i2'))}" for x in pcm])
+            told.append([f"pcm:{features(plain(np.frombuffer(read_wave(x)[2], '<i2')))}" for x in pcm])
             ints = lambda x: pa.array(x, pa.int64())
             text = lambda x: pa.array(x, pa.string())
             yield pa.RecordBatch.from_arrays(
@@ -226,5 +276,6 @@ def measure(stored: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 
 def digests(docs: DataFrame, *, codec: str = "mulaw", rate: int = PCM_RATE, id_col: str = "doc_id", payload_col: str = "text") -> DataFrame:
-    """measure() of store(): store each payload, read the stored bytes back, and digest both."""
-    return measure(store(docs, codec=codec, rate=rate, id_col=id_col, payload_col=payload_col), id_col=id_col)
+    """measure() of store(): store each payload, read the stored bytes back, and digest both.  Folded PCM is unfolded
+    where it is measured: another map would need workers, and memory, of its own."""
+    return _measure(_store(docs, codec, rate, id_col, payload_col), unfold if _folded(rate) else np.asarray, id_col)

@@ -34,8 +34,7 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # PCM at half the telephone rate, so that the stored table is about as large as its input
-    return media.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec="mulaw", rate=4000)
+    return media.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), codec="mulaw")
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lumenfield.llm import media
+from lumenfield.llm import media, queries
 
 ROWS = [(1, None), (2, ""), (3, "a" * 192), (4, "é" * 97), (5, "The quick brown fox\t\n" * 300), (5, "The quick brown fox\t\n" * 300), (None, "x"), (6, "\u0000\u0001" + "".join(map(chr, range(32, 1200)))), (7, "w " * 400_000)]
 
@@ -86,3 +86,34 @@ def test_pieces_of_blocks(monkeypatch):
     monkeypatch.setattr(media, "BLOCKS", 5)
     assert (media.adpcm_decode(data) == want).all() and want.tolist()[: media.BLOCK_SAMPLES] == adpcm(data[:192])
     assert [x.tolist() for x in media.expand_many([data[:192], b"", data[192:576]], "adpcm")] == [want[:377].tolist(), [], want[377 : 3 * 377].tolist()]
+
+
+def test_query_keeps_every_sample(spark, tmp_path):
+    """PCM of the query: all samples that the payload expands to, and the means between, at 16 kHz."""
+    spark.createDataFrame(ROWS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_telephony_media(spark, str(tmp_path)).collect()
+    assert len(got) == len(ROWS)
+    for i, t in ROWS:
+        mu = [mulaw(b) for b in media.padded((t or "").encode())]
+        wide = [v for a, b in zip(mu, [*mu[1:], mu[-1]]) for v in (a, (a + b) >> 1)]
+        (r,) = {x for x in got if x.doc_id == i}
+        assert r.feature.endswith(f" pcm:{told(wide)}")
+
+
+def test_stored_pcm_at_twice_the_rate(spark):
+    df = spark.createDataFrame(ROWS[:6], "doc_id long, text string")
+    for r in media.store(df, codec="mulaw").collect():
+        (t,) = {t for i, t in ROWS[:6] if i == r.doc_id}
+        kind, rate, pcm = media.read_wave(r.pcm)
+        want = media.resample(media.expand(media.padded((t or "").encode()), "mulaw"))
+        assert (kind, rate) == ("pcm", 16000) and pcm == want.astype("<i2").tobytes()
+
+
+def test_folding_loses_nothing():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 4, 191, 1000):
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        x[: n // 3] = np.resize(np.array([32767, -32768, -32768], np.int16), n // 3)
+        assert (media.unfold(media.fold(x)) == x).all() and media.fold(x).dtype == np.int16
+        doubled = media.resample(x)
+        assert not media.fold(doubled)[n:].any() and (media.unfold(media.fold(doubled)) == doubled).all()
