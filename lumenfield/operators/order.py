@@ -4,36 +4,44 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clip, morton3, splat_importance
 from ..scratch import delete, shared_dir, written
 
 CHUNK = 256
+#: Rows that a task sorts, about.
+SORTED = 1 << 18
 
 
 def dense_ordinal(df: DataFrame, keys: list[Column | str], name: str = "_ord", partitions: int | None = None) -> DataFrame:
     """df with a dense ordinal by keys: range partitions, a sort within each, and the offsets of partitions.
 
-    The sorted rows are written once, so that counts and numbers come from the same partitions; the offsets are
-    one row for each partition.
+    Partitions grow in number with the rows, so that a task sorts about SORTED of them.  The sorted rows are written
+    once, so that counts and numbers come from the same partitions; the offsets are one number for each partition.
     """
     spark = df.sparkSession
     if df.isStreaming:
         raise ValueError("an order needs a complete table")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(spark, df.count())
     path = f"{shared_dir(spark)}/order-{uuid.uuid4().hex}"
-    columns = {f"__k{i}": (F.col(k) if isinstance(k, str) else k) for i, k in enumerate(keys)}
-    ready = df.withColumns(columns)
-    names = list(columns)
-    ready.repartitionByRange(n, *names).sortWithinPartitions(*names).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).write.parquet(path)
+    made = {f"__k{i}": k for i, k in enumerate(keys) if not isinstance(k, str)}
+    names = [k if isinstance(k, str) else f"__k{i}" for i, k in enumerate(keys)]
+    dealt = df.withColumns(made) if made else df
+    dealt.repartitionByRange(n, *names).sortWithinPartitions(*names).drop(*made).withColumn("__i", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
-    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("__before", F.coalesce(before, F.lit(0)))
-    out = rows.join(F.broadcast(offsets.select("__p", "__first", "__before")), "__p")
-    return out.withColumn(name, F.col("__i") - F.col("__first") + F.col("__before")).drop("__p", "__i", "__first", "__before", *names)
+    counts = {r[0]: r[1] for r in rows.groupBy(F.shiftright("__i", 33)).count().collect()}  # ids have the partition above bit 33
+    before, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    at = F.expr(f"element_at(array({', '.join(f'{b}L' for b in before)}), CAST(shiftright(__i, 33) AS INT) + 1)")
+    return rows.withColumn(name, F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + at).drop("__i")
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SORTED))
 
 
 def chunk_bounds(df: DataFrame, columns: list[str], size: int = CHUNK, ordinal: str = "_ord") -> DataFrame:
@@ -67,6 +75,7 @@ def morton_order(df: DataFrame, ties: list[str], most: int = CHUNK, name: str =
     The boxes of crowded runs are written at each level, so that the next one reads them and df, not all before.
     """
     spark = df.sparkSession
+    partitions = partitions_for(spark, df.count())
     cur, keys, boxes = morton_code(df, "__m0"), ["__m0"], []
     ends = [f(c).alias(f"__{m}{c}") for c in "xyz" for m, f in (("a", F.min), ("b", F.max))]
     wide = " or ".join(f"__a{c} < __b{c}" for c in "xyz")
@@ -79,7 +88,7 @@ def morton_order(df: DataFrame, ties: list[str], most: int = CHUNK, name: str =
         code = morton3(*(ten_bits(F.col(c), F.col(f"__a{c}"), F.col(f"__b{c}")) for c in "xyz"))
         cur = cur.join(crowd, keys, "left").withColumn(key, F.when(F.col("__ax").isNotNull(), code).otherwise(F.lit(0).cast("long"))).drop(*(f"__{m}{c}" for c in "xyz" for m in "ab"))
         keys.append(key)
-    out = dense_ordinal(cur, [*keys, *ties], name).drop(*keys)
+    out = dense_ordinal(cur, [*keys, *ties], name, partitions).drop(*keys)
     delete(spark, *boxes)
     return out
 

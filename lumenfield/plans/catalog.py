@@ -39,6 +39,8 @@ from ..functions import (
 from ..operators import codebook, density, filters, neighbours, order, palette, profile
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: The columns that the splat view is made of.
+SOURCE = [*KEYS, "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 #: The body of the splat view in both engines.
 VIEW = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey,
   l_quantity AS x, l_extendedprice/1000 AS y, l_discount*100 AS z,

@@ -22,16 +22,18 @@ DIGITS = 4
 
 
 def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The splat view as FLOAT columns with a dense ordinal."""
-    rows = order.dense_ordinal(c.splats(spark, sf_dir), c._TIES)
-    return rows.select("_ord", *(F.col(v).cast("float").alias(v) for v in VALUES))
+    """The splat view as FLOAT columns with a dense ordinal.  The view's few source columns are sorted, not the view."""
+    view = dict(reversed(p.rsplit(" AS ", 1)) if " AS " in p else (p, p) for p in c._parts())
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*c.SOURCE)
+    rows = order.dense_ordinal(raw, [view[k] if view[k] in c.SOURCE else F.expr(view[k]) for k in c._TIES])
+    return rows.select("_ord", *(F.expr(view[v]).cast("float").alias(v) for v in VALUES))
 
 
 def _back(form: str, ordered: bool, columns: list[str] = VALUES, **how) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Write the splat view as a scene file and read it back."""
         path = f"{shared_dir(spark)}/scene-{uuid.uuid4().hex}"
-        write(scene(spark, sf_dir), path, form, **how)
+        write(scene(spark, sf_dir), path, form, dense=True, **how)
         rows = read(spark, path, form).df
         return rows.select(*(["_ord"] if ordered else []), *(F.round(F.col(v).cast("double"), DIGITS).alias(v) for v in columns))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import ORDINAL, RGB, TAIL, rest, standard
-from . import codecs, files, ply, sog
+from ..scratch import shared_dir
+from . import codecs, files, gzips, ply, sog
 from .detect import FORMATS, detect
 
 #: Rows that a task reads at a time.
@@ -147,24 +148,39 @@ def read_ksplat(spark: SparkSession, path: str, mode: str) -> Scene:
     return Scene(_ranges(spark, parts, load, {c: "float" for c in standard(degree)}), "ksplat", {}, {"count": base, "declared": len(rest(degree)), "sections": len(sections), "level": sections[0]["level"] if sections else 0})
 
 
-def _inflated(path: str) -> bytes:
-    raw = files.fetch(path)
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    try:
-        return gzip.decompress(raw)
-    except (OSError, EOFError, zlib.error) as e:
-        raise ValueError(f"{path} can't be inflated") from e
+def _inflated(spark: SparkSession, path: str) -> str:
+    """A gzip file inflated by one task, a few MB at a time, to the shared folder; another file itself."""
+    if files.fetch(path, 0, 2) != b"\x1f\x8b":
+        return path
+    out = f"{shared_dir(spark)}/inflated-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        error = None
+        for _ in batches:
+            try:
+                files.store(out, gzips.inflated(path))
+            except (OSError, EOFError, zlib.error) as e:
+                error = str(e)
+        yield pa.RecordBatch.from_arrays([pa.array([error], pa.string())], ["error"])
+
+    error = spark.range(0, 1, 1, 1).mapInArrow(run, "error string").first()["error"]
+    if error is not None:
+        raise ValueError(f"{path} can't be inflated: {error}")
+    return out
 
 
 def read_spz(spark: SparkSession, path: str) -> Scene:
-    """One task: a gzip stream can't be split."""
+    """A gzip stream can't be split: one task inflates it, many decode."""
     raw = zlib.decompressobj(31).decompress(files.fetch(path, 0, 4096), 16) if files.fetch(path, 0, 2) == b"\x1f\x8b" else files.fetch(path, 0, 16)
     if len(raw) < 16 or int.from_bytes(raw[:4], "little") != codecs.SPZ_MAGIC or not 1 <= int.from_bytes(raw[4:8], "little") <= 3:
         raise ValueError(f"{path} is no SPZ file of version 1 to 3")
     n, degree = int.from_bytes(raw[8:12], "little"), min(raw[12], 3)
     fields = {c: "smallint" if c in RGB else "float" for c in standard(degree, rgb=True)}
-    return Scene(_ranges(spark, [(0,)] if n else [], lambda: codecs.spz_decode(_inflated(path))[0], fields), "spz", {}, {"count": n, "declared": len(rest(degree))})
+    body = _inflated(spark, path)
+    if files.length(body) < 16 + n * sum(codecs.spz_widths(raw)):
+        raise ValueError(f"{path} is cut short")
+    load = lambda start, rows: codecs.spz_part(lambda a, k: files.fetch(body, a, k), start, rows)
+    return Scene(_ranges(spark, [(a, a, k) for a, k in _pieces(n)], load, fields), "spz", {}, {"count": n, "declared": len(rest(degree))})
 
 
 def read_sog(spark: SparkSession, path: str, mode: str) -> Scene:

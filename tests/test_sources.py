@@ -3,6 +3,7 @@
 import gzip
 import json
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -207,3 +208,42 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_standard_order():
     assert standard(1)[:3] == ["x", "y", "z"] and len(standard(3)) == 62
+
+
+def test_spz_in_parts(spark, tmp_path, monkeypatch):
+    """Pieces deflated apart make one gzip stream, and no task decodes more than a range of it."""
+    from lumenfield.sources import gzips, readers
+
+    parts = [b"abc" * 50, b"", b"x", bytes(range(256)) * 9]
+    crc = 0
+    for p in parts:
+        crc = gzips.joined(crc, zlib.crc32(p), len(p))
+    raw = b"".join([gzips.HEAD, *(gzips.piece(p, 6) for p in parts), gzips.tail(crc, sum(map(len, parts)))])
+    assert gzip.decompress(raw) == b"".join(parts) and crc == zlib.crc32(b"".join(parts))
+    monkeypatch.setattr(readers, "ROWS", 100)
+    a, path = cloud(730, 2), str(tmp_path / "s.spz")
+    write(spark.createDataFrame(a).repartition(5), path, "spz")
+    back = read(spark, path)
+    assert back.df.rdd.getNumPartitions() == 8
+    whole, _ = codecs.spz_decode(gzip.decompress(files.fetch(path)))
+    b = rows(back.df)
+    assert all((b[c].to_numpy() == whole[c]).all() for c in whole)
+    assert np.abs(a[["x", "y", "z"]].to_numpy() - b[["x", "y", "z"]].to_numpy()).max() <= 2**-12
+    files.store(path, [files.fetch(path)[:-300]])
+    with pytest.raises(ValueError):
+        read(spark, path)
+
+
+def test_units_shared_by_runs(spark, tmp_path):
+    """Buckets and chunks that two partitions of an order share are whole in the file."""
+    from lumenfield.operators import order
+
+    a = cloud(2000)
+    dense = order.dense_ordinal(spark.createDataFrame(a).withColumnRenamed("_ord", "i"), ["i"], partitions=7).drop("i")
+    for level in (0, 1):
+        one, two = str(tmp_path / f"one{level}"), str(tmp_path / f"two{level}")
+        write(dense, one, "ksplat", compression_level=level, dense=True)
+        write(spark.createDataFrame(a).coalesce(1), two, "ksplat", compression_level=level)
+        assert files.fetch(one) == files.fetch(two)
+    with pytest.raises(ValueError):
+        write(dense.where("_ord <> 900"), str(tmp_path / "gap"), "ksplat", dense=True)
