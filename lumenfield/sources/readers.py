@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..schema import ORDINAL, RGB, TAIL, rest, standard
 from ..scratch import shared_dir
-from . import codecs, files, gzips, ply, sog
+from . import codecs, files, gzips, ply, sog, vp8l
 from .detect import FORMATS, detect
 
 #: Rows that a task reads at a time.
@@ -184,17 +186,29 @@ def read_spz(spark: SparkSession, path: str) -> Scene:
 
 
 def read_sog(spark: SparkSession, path: str, mode: str) -> Scene:
-    """One task: the textures are whole images."""
-    import io
-    import json
-    import zipfile
-
-    raw = files.fetch(path)
-    if not zipfile.is_zipfile(io.BytesIO(raw)):
-        raise ValueError("a SOG bundle is a ZIP file")
-    meta = json.loads(zipfile.ZipFile(io.BytesIO(raw)).read("meta.json"))
-    degree = (meta.get("shN") or {}).get("bands", 0)
-    return Scene(_ranges(spark, [(0,)] if meta["count"] else [], lambda: sog.decode(files.fetch(path), mode)[0], {c: "float" for c in standard(degree)}), "sog", {}, {"count": meta["count"], "declared": len(rest(degree))})
+    """Ranges of a bundle of one's own, whose textures say where their blocks start; the whole in one task of any other."""
+    system, name = files.locate(path)
+    fetch = lambda a, k: files.fetch(path, a, k)
+    with system.open_input_file(name) as f:
+        if not zipfile.is_zipfile(f):
+            raise ValueError("a SOG bundle is a ZIP file")
+        with zipfile.ZipFile(f) as z:
+            meta, found = json.loads(z.read("meta.json")), sog.members(z, fetch)
+    n, degree = meta["count"], (meta.get("shN") or {}).get("bands", 0)
+    if found is None:
+        parts, load = [(0,)] if n else [], lambda: sog.decode(files.fetch(path), mode)[0]
+    else:
+        parts = [(a, a, k) for a, k in _pieces(n)]
+
+        def load(start: int, rows: int) -> codecs.Columns:
+            image = lambda texture: sog.rows_of(fetch, found, texture, start, rows)
+            colours = None
+            if degree:
+                texture = meta["shN"]["files"][0]
+                colours = sog.rows_of(fetch, found, texture, 0, found[texture + sog.BLOCKS][1] // 8 * vp8l.BLOCK)
+            return sog.decode_rows(meta, image, colours, mode)
+
+    return Scene(_ranges(spark, parts, load, {c: "float" for c in standard(degree)}), "sog", {}, {"count": n, "declared": len(rest(degree))})
 
 
 # ---- parquet -----------------------------------------------------------------------------------------------

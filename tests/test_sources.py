@@ -247,3 +247,31 @@ def test_units_shared_by_runs(spark, tmp_path):
         assert files.fetch(one) == files.fetch(two)
     with pytest.raises(ValueError):
         write(dense.where("_ord <> 900"), str(tmp_path / "gap"), "ksplat", dense=True)
+
+
+@pytest.mark.parametrize("degree", [0, 1])
+def test_sog_in_parts(spark, tmp_path, monkeypatch, degree):
+    """Pieces coded apart make textures that any decoder reads, and tasks read ranges of them alike."""
+    from lumenfield.sources import readers, sog, writers
+
+    monkeypatch.setattr(writers, "ROWS", 512)
+    monkeypatch.setattr(readers, "ROWS", 300)
+    a, path = cloud(1500, degree), str(tmp_path / "s.sog")
+    write(spark.createDataFrame(a).repartition(3), path, "sog")
+    back = read(spark, path)
+    assert back.df.rdd.getNumPartitions() == 5
+    whole, own = sog.decode(files.fetch(path))
+    b = rows(back.df)
+    assert own == degree and len(b) == 1500 and set(whole) - {"nx", "ny", "nz"} <= set(b.columns)
+    assert all((b[c].to_numpy() == whole[c]).all() for c in whole)
+
+
+def test_vp8l_blocks():
+    rng = np.random.default_rng(0)
+    for im in (np.minimum(rng.geometric(0.05, (36, 40, 4)), 255), np.full((4, 4, 4), 255), rng.integers(0, 256, (8, 64, 4))):
+        flat = im.astype(np.uint8).reshape(-1, 4)
+        raw, starts = vp8l.encode_blocks(flat.reshape(im.shape))
+        assert (vp8l.decode(raw).reshape(-1, 4) == flat).all()
+        assert (vp8l.blocks(raw[vp8l.RIFF_BYTES :], starts, vp8l.tables(raw[: vp8l.HEAD_BYTES]))[: len(flat)] == flat).all()
+    with pytest.raises(ValueError):
+        vp8l.encode(np.zeros((1, 16385, 4), np.uint8))
