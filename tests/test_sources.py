@@ -275,3 +275,29 @@ def test_vp8l_blocks():
         assert (vp8l.blocks(raw[vp8l.RIFF_BYTES :], starts, vp8l.tables(raw[: vp8l.HEAD_BYTES]))[: len(flat)] == flat).all()
     with pytest.raises(ValueError):
         vp8l.encode(np.zeros((1, 16385, 4), np.uint8))
+
+
+@pytest.mark.parametrize("form", ["3dgs", "cc"])
+def test_ply_encodes_only_columns_that_are_there(spark, tmp_path, monkeypatch, form):
+    from lumenfield.sources import writers
+
+    seen, whole = [], writers._sections
+    monkeypatch.setattr(writers, "_sections", lambda df, *more: seen.append(df.columns) or whole(df, *more))
+    a, path = cloud(50).drop(columns=[*rest(3), "nx", "ny", "nz"]), str(tmp_path / "a.ply")
+    write(spark.createDataFrame(a), path, form)
+    assert len(seen[0]) == 15
+    b = rows(read(spark, path).df)
+    assert (b[rest(3)] == 0).all(axis=None) and (b[list(a.columns)].to_numpy() == a.to_numpy()).all()
+
+
+@pytest.mark.parametrize("form, orders", [("splat", 1), ("ksplat", 0), ("compressed_ply", 1), ("spz", 0)])
+def test_orders_are_made_once_by_partitions_that_follow_rows(spark, tmp_path, monkeypatch, form, orders):
+    from lumenfield.operators import order
+
+    monkeypatch.setattr(order, "SORTED", 100)
+    made, whole = [], order.dense_ordinal
+    dense = whole(spark.createDataFrame(cloud(1000)).withColumnRenamed("_ord", "i"), ["i"]).drop("i")
+    assert dense.groupBy(F.spark_partition_id()).count().count() >= 1 and dense.select(F.input_file_name().alias("f")).distinct().count() >= 9
+    monkeypatch.setattr(order, "dense_ordinal", lambda *a, **b: made.append(a) or whole(*a, **b))
+    write(dense, str(tmp_path / "s"), form, dense=True)
+    assert len(made) == orders and read(spark, str(tmp_path / "s"), form).df.count() == 1000
